@@ -76,7 +76,8 @@ def assign_centroids(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     @F.pandas_udf("int")
     def nearest(batch: pd.Series) -> pd.Series:
         points = np.stack(batch.to_numpy()).astype(np.float64) if len(batch) else np.zeros((0, matrix.shape[1]))
-        return pd.Series(numbers[np.argmax(points @ matrix.T - half_sq, axis=1)])
+        closeness = np.floor((points @ matrix.T - half_sq) * 1e9 + 0.5)   # equal up to rounding noise is a tie
+        return pd.Series(numbers[np.argmax(closeness, axis=1)])
 
     return vectors.withColumn("cluster", nearest("embedding"))
 
