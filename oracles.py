@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import zipfile
 
 import pyspark
@@ -62,7 +63,7 @@ BANDED = ("CASE WHEN n > 20 THEN 4 WHEN n > 15 THEN 3 ELSE 2 END", 3)
 FULL = ("4", 1)
 
 
-def candidates(profile, prefix=""):
+def candidates(profile):
     """cand(k, phrase, n, psq, score, ws) for every text of `texts`."""
     band, min_chars = profile
     grams = []
@@ -238,10 +239,10 @@ LEXICAL = reported("quality") + [("ph", "SELECT *, md5(phrase) AS phrase_id FROM
 
 DENSE = [
     ("n", "SELECT count(*) AS n FROM embeddings"),
-    ("blend", "SELECT a.vec_id AS q, list_transform(list_zip(a.embedding, b.embedding), z -> "
+    ("blend", "SELECT a.vec_id AS q, list_transform(list_zip(a.embedding, b.embedding), lambda z: "
               "s * z[1]::DOUBLE + (1.0::DOUBLE - s) * z[2]::DOUBLE) AS v "
               "FROM (SELECT *, [1.0, 0.85, 0.75, 0.65, 0.55][(vec_id % 5 + 1)::INT]::DOUBLE AS s FROM embeddings) a, n, embeddings b WHERE b.vec_id = (a.vec_id + 1) % n"),
-    ("unit", "SELECT q, list_transform(v, x -> x / sqrt(list_inner_product(v, v))) AS v FROM blend"),
+    ("unit", "SELECT q, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM blend"),
 ]
 
 
@@ -267,17 +268,10 @@ def samples(source):
             f"(PARTITION BY cluster ORDER BY total_frequency DESC, phrase) AS rn FROM {source} WHERE cluster IS NOT NULL) WHERE rn <= 3 GROUP BY cluster")
 
 
-def explained(source, key):
-    """Flat explanation of every row of `rows`(key, text)."""
-    return (LEXICAL[:0] + [("q_rows", source)] + STOP + LEXICAL + [
-        ("texts2", "SELECT md5(text) AS k, any_value(text) AS text FROM q_rows WHERE text IS NOT NULL GROUP BY 1")])
-
-
 def second_extraction():
     """Candidates and diverse phrases of texts2, under their own names."""
     renamed = {"texts": "texts2", "gated": "gated2", "tok": "tok2", "tf": "tf2", "tsq": "tsq2", "seq": "seq2", "grams": "grams2",
                "pw": "pw2", "hits": "hits2", "cand": "cand2"}
-    import re
     out = []
     for name, body in candidates(FULL) + mmr_steps():
         for old, new in renamed.items():
@@ -374,7 +368,7 @@ def all_sql() -> dict[str, str]:
         VECTOR_PHRASES + [("s", samples("vp")), ("g", "SELECT cluster, count(*) AS size, sum(total_frequency)::BIGINT AS total_phrase_frequency, "
                                                     "avg(total_frequency) AS avg_phrase_frequency, sum(hate_count)::BIGINT AS hate_count, "
                                                     "sum(non_hate_count)::BIGINT AS non_hate_count FROM vp WHERE cluster IS NOT NULL GROUP BY cluster")],
-        f"SELECT g.*, ratio_milli, ratio_milli / 1000 AS cluster_hate_ratio, CASE WHEN hate_count / size > 0.66::DOUBLE THEN 'HIGH HATE' WHEN hate_count / size < 0.33::DOUBLE "
+        f"SELECT g.*, ratio_milli / 1000 AS cluster_hate_ratio, CASE WHEN hate_count / size > 0.66::DOUBLE THEN 'HIGH HATE' WHEN hate_count / size < 0.33::DOUBLE "
         f"THEN 'LOW HATE' ELSE 'NEUTRAL' END AS hate_indicator, sample_phrases FROM (SELECT *, {milli('hate_count', '(hate_count + non_hate_count)')} AS ratio_milli FROM g) g JOIN s USING (cluster)")
     sql["cluster_samples"] = with_(LEXICAL, samples("clustered"))
     sql["unlabelled_cluster_stats"] = with_(VECTOR_PHRASES, "SELECT cluster, count(*) AS size, sum(total_frequency)::BIGINT AS total_phrase_frequency, "
@@ -399,7 +393,6 @@ def all_sql() -> dict[str, str]:
     sql["unable_to_classify"] = with_(
         dense_facts(5, "cluster < 5") + phrase_verdict("f", "v", 5) + text_verdict("f", "t", 5),
         "SELECT q AS q_id, classification, classification_method, hate_ratio, overall_classification, avg_hate_ratio, similarity_confidence, threshold FROM v JOIN t USING (q)")
-    toxic_phrases = [(f"x_{n}" if n in ("corpus", "texts") else n, b) for n, b in []]
     sql["classify_phrase"] = with_(
         [("ask", "SELECT phrase FROM (" + with_(counted("toxic"), "SELECT phrase FROM counts") + ")")] + LEXICAL + hashed("ask", "phrase", "phrase", "avec")
         + lexical_search("ask", "phrase", "avec", 5, "pn") + facts("pn", "f") + phrase_verdict("f", "v", 5),

@@ -46,7 +46,7 @@ def _search(queries: pa.Table, index: pa.Table, k: int, cosine: bool, skip_self:
     if not queries.num_rows or not index.num_rows:
         return schema.empty_table()
     index = index.sort_by("phrase_id")
-    q, x = _matrix(queries["embedding"]), _matrix(index["embedding"])
+    q, x = _matrix(queries["query"]), _matrix(index["embedding"])
     x_sq = np.einsum("ij,ij->i", x, x)
     # A query is left out of its own result by position: where its id stands in the sorted index.
     own = pc.index_in(queries["q_id"].cast(index["phrase_id"].type), index["phrase_id"]) if skip_self else None
@@ -85,7 +85,8 @@ def top_k_neighbours(queries: DataFrame, index: DataFrame, k: int, cosine: bool
     rows there are fewer neighbours. Ids must be unique. `cosine` divides by both norms; without it
     the inner product is used as it is.
     """
-    queries = queries.select("q_id", "embedding").where(F.col("embedding").isNotNull())
+    # A column of its own for the queries: both tables may stem from the same one.
+    queries = queries.select("q_id", F.col("embedding").alias("query")).where(F.col("query").isNotNull())
     index = index.where(F.col("embedding").isNotNull())
     extra = [c for c in index.columns if c not in ("phrase_id", "embedding")]
     spark = queries.sparkSession
@@ -96,13 +97,13 @@ def top_k_neighbours(queries: DataFrame, index: DataFrame, k: int, cosine: bool
     q_blocks = max(1, math.ceil(n_queries / block_rows), spread)
 
     def block(column: str, count: int):
-        return F.pmod(F.xxhash64(column), F.lit(count))
+        return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
 
     def all_blocks(count: int):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
     q_cells = queries.select("*", block("q_id", q_blocks).alias("qb"), all_blocks(x_blocks).alias("xb"))
-    x_cells = index.select("*", all_blocks(q_blocks).cast("long").alias("qb"), block("phrase_id", x_blocks).cast("int").alias("xb"))
+    x_cells = index.select("*", all_blocks(q_blocks).alias("qb"), block("phrase_id", x_blocks).alias("xb"))
     fields = [T.StructField("q_id", queries.schema["q_id"].dataType), T.StructField("rank", T.IntegerType()),
               T.StructField("phrase_id", index.schema["phrase_id"].dataType),
               T.StructField("similarity", T.DoubleType()), *[index.schema[c] for c in extra]]

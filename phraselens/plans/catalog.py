@@ -13,7 +13,7 @@ from phraselens.config import (
     EXTRACT, PHRASE_NEIGHBOURS, TEXT_NEIGHBOURS, Settings,
 )
 from phraselens.functions import ratio as fr, text as ft, words as fw
-from phraselens.functions.vectors import l2_normalise, rounded
+from phraselens.functions.vectors import bind, l2_normalise, rounded
 from phraselens.operators import (
     candidates as oc, checks, classify, cluster, embed, mmr, pairs, phrases as op, sampling, similarity, skew,
 )
@@ -226,7 +226,8 @@ def blends(spark, folder) -> DataFrame:
     a = F.get(shares, (F.col("phrase_id") % 5).cast("int"))
     return own.join(following, "phrase_id").select(
         F.col("phrase_id").alias("q_id"),
-        F.zip_with("embedding", "other", lambda x, y: a * x.cast("double") + (1.0 - a) * y.cast("double")).alias("embedding"))
+        bind(a, lambda share: F.zip_with(
+            "embedding", "other", lambda x, y: share * x.cast("double") + (1.0 - share) * y.cast("double"))).alias("embedding"))
 
 
 def unit_blends(spark, folder) -> DataFrame:
@@ -474,7 +475,8 @@ def end_to_end_verdicts(spark, folder):
 # --- streams ---------------------------------------------------------------------------------------
 
 def document_stream(spark, folder) -> DataFrame:
-    return tune(spark).readStream.schema(DOCUMENTS).parquet(f"{folder}/documents.parquet")
+    # Written as a pattern, because a stream does not accept the name of a single file.
+    return tune(spark).readStream.schema(DOCUMENTS).parquet(f"{folder}/document[s].parquet")
 
 
 def stream_phrase_counts(spark, folder):
