@@ -14,14 +14,16 @@ from phraselens.session import written
 
 def classify_phrase_set(phrases: DataFrame, index: DataFrame, embedder, k: int = PHRASE_NEIGHBOURS) -> DataFrame:
     """Verdict for every different phrase; each is embedded and searched once however many texts share it."""
-    vectors = embedder.embed(phrases.select("phrase").distinct(), "phrase").withColumnRenamed("phrase", "q_id")
+    vectors = written(embedder.embed(phrases.select("phrase").distinct(), "phrase").withColumnRenamed("phrase", "q_id"),
+                      "phrase-vectors")
     found = top_k_neighbours(vectors, index, k, cosine=True)
     return classify.phrase_verdicts(classify.neighbour_ratios(found), k).withColumnRenamed("q_id", "phrase")
 
 
 def classify_text_set(texts: DataFrame, index: DataFrame, embedder, k: int = TEXT_NEIGHBOURS) -> DataFrame:
     """Verdict for every text of texts(text_key, text)."""
-    vectors = embedder.embed(texts.select(F.col("text_key").alias("q_id"), "text"), "text")
+    vectors = written(embedder.embed(texts.select(F.col("text_key").alias("q_id"), "text"), "text").drop("text"),
+                      "text-vectors")
     found = top_k_neighbours(vectors, index, k, cosine=True)
     return classify.text_verdicts(classify.neighbour_ratios(found), k).withColumnRenamed("q_id", "text_key")
 
