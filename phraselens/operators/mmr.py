@@ -1,60 +1,73 @@
-"""Diverse key phrases: maximal marginal relevance as a chain of windows.
+"""Diverse key phrases: maximal marginal relevance.
 
-Choosing is sequential, but each step only needs, per text, the best remaining phrase. Every step is
-one window over the text key; all of them share the exchange and the sort of the first, run inside
-the JVM, spill when a text is long, and look at every candidate.
+Choosing is sequential within a text, so it is a small numpy kernel per text: ten steps, each linear in
+the number of candidates. Spark does the rest: candidates arrive already partitioned by text from the
+one exchange that built them, and only the chosen phrases leave the kernel. (The same greedy choice as
+ten chained windows in the JVM gave equal results in three times the time.)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from phraselens.config import INFER, ExtractProfile
-from phraselens.functions.vectors import rounded
 from phraselens.functions.words import custom_stop_words
-from phraselens.operators.candidates import WORD_IDS, same_word_pairs, score_texts
+from phraselens.operators.candidates import WORD_IDS, score_texts
 
 
-def mmr_select(candidates: DataFrame, limit: int, diversity: float) -> DataFrame:
-    """The `limit` phrases per text chosen greedily by (1-d)*score - d*similarity to those chosen.
+def greedy_picks(score: np.ndarray, squares: np.ndarray, ids: np.ndarray, phrases: pa.ChunkedArray,
+                 limit: int, diversity: float) -> list[int]:
+    """Rows chosen by (1-d)*score - d*(largest similarity to a chosen row); ties go to the first phrase.
 
-    `candidates` has text_key, phrase, phrase_sq, score and the word ids. Ties go to the alphabetically first phrase.
-    Adds `pick`, the step that chose the phrase.
+    `ids` holds the word ids of a phrase per row, -1 where it has fewer words.
     """
-    state = candidates.select("*", F.lit(None).cast("int").alias("pick"), F.lit(None).cast("double").alias("near"))
-    keep = candidates.columns
-    by_text = W.partitionBy("text_key")
-    for step in range(1, limit + 1):
-        value = F.col("score") if step == 1 else (
-            F.lit(1 - diversity) * F.col("score") - F.lit(diversity) * F.col("near"))
-        entry = F.struct((-value).alias("cost"), F.col("phrase"), F.col("phrase_sq"), *WORD_IDS)
-        state = state.withColumn("best", F.min(F.when(F.col("pick").isNull(), entry)).over(by_text))
-        best = F.col("best")
-        same = same_word_pairs([F.col(w) for w in WORD_IDS], [best[w] for w in WORD_IDS])
-        similarity = same.cast("double") / F.sqrt((F.col("phrase_sq") * best["phrase_sq"]).cast("double"))
-        state = state.select(
-            *keep,
-            F.when(F.col("pick").isNull() & (F.col("phrase") == best["phrase"]), F.lit(step))
-            .otherwise(F.col("pick")).alias("pick"),
-            F.greatest(F.col("near"), similarity).alias("near"))
-    return state.where(F.col("pick").isNotNull()).drop("near", *WORD_IDS)
+    picks: list[int] = []
+    value, near = score.copy(), np.zeros(len(score))
+    for _ in range(min(limit, len(score))):
+        tied = np.flatnonzero(value == value.max())
+        names = phrases.take(pa.array(tied))
+        best = int(tied[pc.index(names, pc.min(names)).as_py()])
+        picks.append(best)
+        shared = sum((ids == word).sum(axis=1) for word in ids[best] if word >= 0)
+        near = np.maximum(near, shared / np.sqrt((squares * squares[best]).astype(np.float64)))
+        value = (1 - diversity) * score - diversity * near
+        value[picks] = -np.inf
+    return picks
 
 
-def drop_stop_phrases(phrases: DataFrame, stop_words: list[str]) -> DataFrame:
-    return phrases.where(~F.lower("phrase").isin(list(stop_words)))
+def mmr_select(candidates: DataFrame, limit: int, diversity: float, top_k: int, stop_words: list[str]) -> DataFrame:
+    """Diverse phrases per text from text_key, phrase, phrase_sq, score and word ids.
+
+    `limit` phrases are chosen greedily; those that are a stop word by themselves are dropped; the rest is
+    ranked by score to the text (4 decimals), then alphabetically, and the first top_k stay. All of it
+    concerns at most `limit` rows of one text, so it needs no further exchange.
+    """
+    stop = set(stop_words)
 
+    def choose(rows: pa.Table) -> pa.Table:
+        ids = np.stack([rows[c].fill_null(-1).to_numpy() for c in WORD_IDS], axis=1)
+        score = rows["score"].to_numpy()
+        picks = greedy_picks(score, rows["phrase_sq"].to_numpy(), ids, rows["phrase"], limit, diversity)
+        named = [(-np.floor(score[i] * 1e4 + 0.5) / 1e4, rows["phrase"][i].as_py()) for i in picks]
+        kept = sorted(n for n in named if n[1].lower() not in stop)[:top_k]
+        return pa.table({"text_key": pa.array([rows["text_key"][0].as_py()] * len(kept), pa.binary()),
+                         "rank": pa.array(range(1, len(kept) + 1), pa.int32()),
+                         "phrase": pa.array([phrase for _, phrase in kept], pa.string()),
+                         "score": pa.array([-cost for cost, _ in kept], pa.float64())})
 
-def first_ranked(phrases: DataFrame, top_k: int) -> DataFrame:
-    """Rank by score to the text, then alphabetically, and keep the first top_k per text."""
-    order = W.partitionBy("text_key").orderBy(F.desc("score"), "phrase")
-    return phrases.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return (candidates.select("text_key", "phrase", "phrase_sq", "score", *WORD_IDS)
+            .groupBy("text_key").applyInArrow(choose, "text_key binary, rank int, phrase string, score double"))
+
+
+def drop_stop_phrases(phrases: DataFrame, stop_words: list[str]) -> DataFrame:
+    return phrases.where(~F.lower("phrase").isin(list(stop_words)))
 
 
 def diverse_phrases(texts: DataFrame, profile: ExtractProfile = INFER, stop_words=None) -> DataFrame:
     """Explaining phrases of distinct texts: text_key, rank, phrase, score (4 decimals)."""
     stop_words = custom_stop_words() if stop_words is None else stop_words
-    candidates = score_texts(texts, profile, stop_words).select(
-        "text_key", "phrase", "phrase_sq", "score", *WORD_IDS)
-    chosen = mmr_select(candidates, 2 * profile.top_k, profile.diversity)
-    scored = chosen.select("text_key", "phrase", rounded(F.col("score"), 4).alias("score"))
-    return first_ranked(drop_stop_phrases(scored, stop_words), profile.top_k)
+    candidates = score_texts(texts, profile, stop_words)
+    return mmr_select(candidates, 2 * profile.top_k, profile.diversity, profile.top_k, stop_words)
