@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
@@ -75,7 +76,10 @@ def test_pair_correlation(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0, 1.0], [1.0, 0.0], 1.0)],
                                "vec_a array<double>, vec_b array<double>, score double")
     row = pairs.pair_correlation(df).first()
-    assert row["pairs"] == 3 and row["pearson"] == pytest.approx(0.9472, abs=1e-3) and row["spearman"] == pytest.approx(0.8660, abs=1e-3)
+    cosines, scores = [1.0, 0.0, math.sqrt(0.5)], [1.0, 0.0, 1.0]
+    assert row["pairs"] == 3
+    assert row["pearson"] == pytest.approx(np.corrcoef(scores, cosines)[0, 1])
+    assert row["spearman"] == pytest.approx(np.corrcoef([2.5, 1, 2.5], [3, 1, 2])[0, 1])
 
 
 def test_class_column_is_checked(spark):
