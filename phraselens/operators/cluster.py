@@ -30,8 +30,21 @@ def with_unit_features(vectors: DataFrame) -> DataFrame:
             .transform(with_features(vectors).withColumnRenamed("features", "_raw")).drop("_raw"))
 
 
+def distinct_points(vectors: DataFrame, enough: int) -> int:
+    """How many different vectors there are, counted exactly only up to about `enough`."""
+    key = F.xxhash64("embedding")
+    estimate = vectors.agg(F.approx_count_distinct(key)).first()[0]
+    if estimate > 2 * enough:
+        return estimate
+    return vectors.select(key.alias("key")).distinct().count()
+
+
 def fit_kmeans(vectors: DataFrame, k: int = KMEANS_K, iterations: int = KMEANS_ITERATIONS, seed: int = SEED) -> KMeansModel:
-    """k-means on the unit vectors of all rows, kept in memory (or on disk) while it scans them repeatedly."""
+    """k-means on the unit vectors of all rows, kept in memory (or on disk) while it scans them repeatedly.
+
+    There are never more clusters than different vectors.
+    """
+    k = max(2, min(k, distinct_points(vectors, k)))
     points = with_unit_features(vectors).select("features").persist()
     model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
     points.unpersist()
@@ -40,12 +53,19 @@ def fit_kmeans(vectors: DataFrame, k: int = KMEANS_K, iterations: int = KMEANS_I
 
 def elbow_curve(vectors: DataFrame, id_col: str, ks: Iterable[int] = ELBOW_K, iterations: int = ELBOW_ITERATIONS,
                 seed: int = SEED) -> DataFrame:
-    """Objective per k on one fixed sample, kept in memory for all the fits (at most 15,000 rows)."""
+    """Objective per k on one fixed sample, kept in memory for all the fits (at most 15,000 rows).
+
+    Ends where k exceeds the number of different vectors in the sample.
+    """
     spark = vectors.sparkSession
-    sample = with_unit_features(fixed_sample(vectors, id_col, seed=seed)).select("features").persist()
+    sample = with_unit_features(fixed_sample(vectors, id_col, seed=seed)).select("embedding", "features").persist()
+    ks = list(ks)
+    most = distinct_points(sample, max(ks))
     points = []
     for k in ks:
-        model = KMeans(k=k, maxIter=iterations, seed=seed).fit(sample)
+        if k > most:
+            break
+        model = KMeans(k=k, maxIter=iterations, seed=seed).fit(sample.select("features"))
         points.append((k, float(model.summary.trainingCost)))
     sample.unpersist()
     return spark.createDataFrame(points, "k int, inertia double")

@@ -138,3 +138,11 @@ def test_consistency(spark):
     with pytest.raises(ValueError):
         checks.require_consistent(left, right)
     assert checks.corpus_summary(phrases(spark)).first()["mean_cluster_size"] == 2.5
+
+
+@pytest.mark.parametrize("points", [[[1, 0]] * 4, [[1, 0], [0, 1], [1, 0]], [[1, 0], [0, 1], [-1, 0], [0, -1]]])
+def test_fewer_points_than_clusters(spark, points):
+    vectors = vector_table(spark, points, "phrase_id")
+    assigned = cluster.assign_with_model(vectors, cluster.fit_kmeans(vectors, k=10)).collect()
+    by_point = {tuple(r["embedding"]): r["cluster"] for r in assigned}
+    assert all(r["cluster"] == by_point[tuple(r["embedding"])] for r in assigned)
