@@ -32,7 +32,7 @@ def explain_distinct(texts: DataFrame, index: DataFrame, embedder, profile: Extr
     """One result per text of texts(text_key, text). A text without phrases is not classified."""
     phrases = written(mmr.diverse_phrases(texts, profile).select("text_key", "rank", "phrase", "score"), "phrases")
     by_phrase = classify_phrase_set(phrases, index, embedder)
-    explained = classify.phrase_explanations(join_unique(phrases, by_phrase, "phrase"), "text_key")
+    explained = written(classify.phrase_explanations(join_unique(phrases, by_phrase, "phrase"), "text_key"), "explanations")
     with_phrases = texts.join(explained.select("text_key"), "text_key", "left_semi")
     verdicts = classify_text_set(with_phrases, index, embedder)
     joined = texts.select("text_key").join(explained, "text_key", "left").join(verdicts, "text_key", "left")

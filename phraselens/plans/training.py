@@ -5,15 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeansModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from phraselens.config import Settings
 from phraselens.operators import checks, classify, cluster, phrases
 from phraselens.operators.embed import HashedEmbedder, phrase_id
 from phraselens.sources.snapshots import read_snapshot, stage, write_snapshot
 
-from pyspark.sql import functions as F
-
 
 def phrase_table(corpus: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Frequent phrases with counts, ratio, band and id. Rare ones go before anything is embedded."""
@@ -52,7 +50,7 @@ def train(corpus: DataFrame, root: str, settings: Settings = Settings(), embedde
                                   root, "assigned", digest)
     else:
         model = KMeansModel.load(model_path)
-    clustered = cluster.attach_clusters(table, assigned)
+    clustered = stage(spark, root, "clustered", digest, lambda: cluster.attach_clusters(table, assigned))
     stats = stage(spark, root, "statistics", digest, lambda: cluster.cluster_statistics(clustered))
     index = stage(spark, root, "index", digest, lambda: classify.phrase_index(
         clustered.select("phrase_id", "phrase", "cluster").join(vectors, "phrase_id"), cluster.read_ratio(stats)))
