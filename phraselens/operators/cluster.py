@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.stat import Summarizer
@@ -52,7 +54,7 @@ def fit_kmeans(vectors: DataFrame, k: int = KMEANS_K, iterations: int = KMEANS_I
 
 
 def elbow_curve(vectors: DataFrame, id_col: str, ks: Iterable[int] = ELBOW_K, iterations: int = ELBOW_ITERATIONS,
-                seed: int = SEED) -> DataFrame:
+                seed: int = SEED, parallelism: int = 4) -> DataFrame:
     """Objective per k on one fixed sample, kept in memory for all the fits (at most 15,000 rows).
 
     Ends where k exceeds the number of different vectors in the sample.
@@ -61,12 +63,14 @@ def elbow_curve(vectors: DataFrame, id_col: str, ks: Iterable[int] = ELBOW_K, it
     sample = with_unit_features(fixed_sample(vectors, id_col, seed=seed)).select("embedding", "features").persist()
     ks = list(ks)
     most = distinct_points(sample, max(ks))
-    points = []
-    for k in ks:
-        if k > most:
-            break
+
+    def cost(k: int) -> tuple[int, float]:
         model = KMeans(k=k, maxIter=iterations, seed=seed).fit(sample.select("features"))
-        points.append((k, float(model.summary.trainingCost)))
+        return k, float(model.summary.trainingCost)
+
+    # The fits are independent small jobs; submitted one after the other they would mostly wait.
+    with ThreadPoolExecutor(parallelism) as pool:
+        points = list(pool.map(inheritable_thread_target(spark)(cost), [k for k in ks if k <= most]))
     sample.unpersist()
     return spark.createDataFrame(points, "k int, inertia double")
 

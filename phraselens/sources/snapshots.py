@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from phraselens.schemas import MANIFEST
@@ -18,11 +17,11 @@ from phraselens.schemas import MANIFEST
 VERSIONS_TRIED = 20
 
 
-def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{root}/manifests")
-    except AnalysisException:
-        return None
+def _manifests(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest table of `root`, made empty where there is none."""
+    path = f"{root}/manifests"
+    spark.createDataFrame([], MANIFEST).write.mode("ignore").parquet(path)
+    return spark.read.schema(MANIFEST).parquet(path)
 
 
 def write_snapshot(df: DataFrame, root: str, stage: str, digest: str) -> DataFrame:
@@ -39,13 +38,10 @@ def write_snapshot(df: DataFrame, root: str, stage: str, digest: str) -> DataFra
 
 def read_snapshot(spark: SparkSession, root: str, stage: str, digest: str | None = None) -> DataFrame | None:
     """The newest complete snapshot of a stage, or None."""
-    manifests = _manifests(spark, root)
-    if manifests is None:
-        return None
     wanted = F.col("stage") == stage
     if digest is not None:
         wanted = wanted & (F.col("digest") == digest)
-    for m in manifests.where(wanted).orderBy(F.desc("written_at")).limit(VERSIONS_TRIED).collect():
+    for m in _manifests(spark, root).where(wanted).orderBy(F.desc("written_at")).limit(VERSIONS_TRIED).collect():
         try:
             data = spark.read.parquet(m["path"])
             if data.count() == m["rows"]:
