@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import glob
-import os
 import re
-import zipfile
 
-import pyspark
-
-from phraselens.functions.words import BOOST_WORDS, EXTRA_STOP_WORDS, RELEVANT_WORDS
+from phraselens.functions.words import BASE_STOP_WORDS, BOOST_WORDS, EXTRA_STOP_WORDS, RELEVANT_WORDS
 
 WS = r"\x{09}-\x{0d}\x{1c}-\x{1f}\x{85}\p{Z}"
 DIM = 256
 
 
-def base_words() -> list[str]:
-    """Spark's English stop words, read from its jar so that no JVM is needed here."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    text = zipfile.ZipFile(jar).read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return [w.strip() for w in text.splitlines() if w.strip()]
-
-
 def words(items) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in items)
 
@@ -51,7 +39,7 @@ def corpus(label="toxic"):
                        f"FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND {label} IS NOT NULL")]
 
 
-STOP = [("stop", f"SELECT word FROM ({values(base_words())}) EXCEPT SELECT word FROM ({values(RELEVANT_WORDS)}) "
+STOP = [("stop", f"SELECT word FROM ({values(BASE_STOP_WORDS)}) EXCEPT SELECT word FROM ({values(RELEVANT_WORDS)}) "
                  f"UNION SELECT word FROM ({values(EXTRA_STOP_WORDS)})")]
 
 # texts(k, text, docs, hate)
