@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phraselens.llm import common, minhash
+from phraselens.llm import bpe, common, minhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return common.settings(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file, read on the driver only."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), tokenizer_path())
+
+
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (
+    op2_bpe_round_trip, op7_minhash_near_dedup,
+)}
 
 # None of these operators is SQL: they are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
