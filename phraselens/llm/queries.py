@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phraselens.llm import bpe, common, minhash
+from phraselens.llm import bloom_lm, bpe, common, minhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return common.settings(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def remainder(modulus: int):
+    """crc32 of the id as text, modulo modulus: the fixed folds of the benchmark."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return bloom_lm.score(table(spark, folder, "documents"), remainder(5) == 1)
+
+
 def tokenizer_path() -> str:
     """The public vocabulary file, read on the driver only."""
     import public_tokenizers
@@ -27,7 +36,7 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_bpe_round_trip, op7_minhash_near_dedup,
+    op1_bloom_lm, op2_bpe_round_trip, op7_minhash_near_dedup,
 )}
 
 # None of these operators is SQL: they are held against brute force in tests/llm.
