@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phraselens.llm import bloom_lm, bpe, common, minhash
+from phraselens.llm import bloom_lm, bpe, common, line_dedup, minhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,12 +31,17 @@ def op2_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "lines_removed", "kept_in", "n_links", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bloom_lm, op2_bpe_round_trip, op7_minhash_near_dedup,
+    op1_bloom_lm, op2_bpe_round_trip, op3_line_dedup, op7_minhash_near_dedup,
 )}
 
 # None of these operators is SQL: they are held against brute force in tests/llm.
