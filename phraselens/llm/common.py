@@ -10,6 +10,7 @@ from phraselens.session import tune, written
 
 BATCH_ROWS = 2_000
 BATCH_BYTES = "8m"
+BROADCAST_ROWS = 500_000       # of a few numbers each
 
 
 def settings(spark: SparkSession) -> SparkSession:
@@ -49,30 +50,35 @@ class Coder(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, which must be a few numbers wide; else df as it is.
+
+    For written tables, whose rows are counted from the files' footers.
+    """
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): the smallest id reachable over the undirected edges (a, b); ids without an edge are absent.
 
-    Each round maps every id to its smallest neighbour, follows that map twice more and contracts the edges; at
-    least the ids that have a smaller neighbour vanish. Every round is a written table, so nothing is recomputed
-    when an executor is lost, and nothing but one emptiness test reaches the driver.
+    Each round maps every id to its smallest neighbour, follows that map once more and contracts the edges; at least
+    the ids that have a smaller neighbour vanish. Every round is a written table, so nothing is recomputed when an
+    executor is lost, and only counts reach the driver.
     """
-    rest = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                   .distinct(), name)
+    rest = written(edges.where("a != b").select("a", "b").distinct(), name)
     labels = None
     while not rest.isEmpty():
-        both = rest.select("a", "b").unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = rest.unionAll(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("to"))
         up = written(up, name)
-        for _ in range(2):
-            up = up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select(
-                "id", F.col("next").alias("to"))
-        up = written(up, name)
+        step = small(up.select(F.col("id").alias("to"), F.col("to").alias("next")))
+        up = written(up.join(step, "to").select("id", F.col("next").alias("to")), name)
         if labels is None:
             labels = up
         else:
-            labels = labels.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left").select(
-                "id", F.coalesce("next", "to").alias("to"))
-        a, b = (up.select(F.col("id").alias(c), F.col("to").alias(f"{c}2")) for c in "ab")
+            step = small(up.select(F.col("id").alias("to"), F.col("to").alias("next")))
+            labels = labels.join(step, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
+        a, b = (small(up.select(F.col("id").alias(c), F.col("to").alias(f"{c}2"))) for c in "ab")
         rest = written(rest.join(a, "a").join(b, "b").where("a2 != b2").select(
             F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct(), name)
     if labels is None:
