@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from phraselens.llm.common import shared
+
 TABLE_PIECES = 500_000      # pieces remembered between batches; forgetting them costs time only
 
 
@@ -38,6 +40,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.pattern = self.PATTERN
         model, alphabet = spec["model"], byte_alphabet()
         byte_of = {c: b for b, c in enumerate(alphabet)}
         ids = model["vocab"]
@@ -94,11 +97,11 @@ def merge_all(pieces: list[bytes], byte_ids: list[int], merges: list, ranks: dic
     return out
 
 
-def _encoder(shared):
+def _encoder(sent):
     def encode(batches):
-        vocabulary = shared.value
+        vocabulary = sent.value
         ranks = {a << 32 | b: r for r, (a, b, _) in enumerate(vocabulary.merges)}
-        find = regex.compile(vocabulary.PATTERN).findall
+        find = regex.compile(vocabulary.pattern).findall
         special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")"
                                 if vocabulary.special else "(?!)()")
         special_ids = {t: np.array([i], "<u4").tobytes() for t, i in vocabulary.special.items()}
@@ -119,9 +122,9 @@ def _encoder(shared):
     return encode
 
 
-def _decoder(shared):
+def _decoder(sent):
     def decode(batches):
-        bytes_of = shared.value.bytes_of
+        bytes_of = sent.value.bytes_of
         for batch in batches:
             texts = [b"".join(map(bytes_of.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace")
                      for x in batch["ids"].to_pylist()]
@@ -136,16 +139,16 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     ids holds the token ids as little-endian unsigned 32-bit numbers; a null or empty text gives none. Special strings
     of the vocabulary become their ids. The vocabulary, of fixed size, is read on the driver and broadcast.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    sent = shared(documents.sparkSession, Vocabulary(path))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(_encoder(shared), f"doc_id {kind}, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(_encoder(sent), f"doc_id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, decoded; bytes that are not UTF-8 become U+FFFD, special ids their strings."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    sent = shared(encoded.sparkSession, Vocabulary(path))
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(shared), f"doc_id {kind}, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(sent), f"doc_id {kind}, ids binary, decoded string")
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -50,6 +52,11 @@ class Coder(dict):
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
+def shared(spark: SparkSession, thing):
+    """A broadcast of an object's attributes; a plain namespace needs no package on the executors."""
+    return spark.sparkContext.broadcast(SimpleNamespace(**vars(thing)))
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, which must be a few numbers wide; else df as it is.
 

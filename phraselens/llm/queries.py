@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phraselens.llm import bloom_lm, bpe, common, line_dedup, minhash
+from phraselens.llm import bloom_lm, bpe, common, decontaminate, line_dedup, minhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,12 +36,17 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "lines_removed", "kept_in", "n_links", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bloom_lm, op2_bpe_round_trip, op3_line_dedup, op7_minhash_near_dedup,
+    op1_bloom_lm, op2_bpe_round_trip, op3_line_dedup, op6_decontaminate,
+    op7_minhash_near_dedup,
 )}
 
 # None of these operators is SQL: they are held against brute force in tests/llm.
