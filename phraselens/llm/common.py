@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from phraselens.session import tune, written
 
+MARKS = b".,;:!?\"'()[]{}*#$%&|-"       # stripped from words where only the word matters
 BATCH_ROWS = 2_000
 BATCH_BYTES = "8m"
 BROADCAST_ROWS = 500_000       # of a few numbers each

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from phraselens.llm.common import Coder, shared, words
+from phraselens.llm.common import MARKS, Coder, shared, words
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -27,7 +27,6 @@ QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.6
 MIN_WORDS = 8                   # shorter items are too common to prove a leak and are left out
 BLOCK = 16
 INDEX_BYTES = 8 << 20           # text of the items in one broadcast index
-MARKS = b".,;:!?\"'()[]{}*#$%&|-"
 
 HITS = "doc_id long, same long, n_passages long, n_retrieved long, score double, items array<long>"
 

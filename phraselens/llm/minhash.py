@@ -26,7 +26,7 @@ SYMBOLS, SLACK = 512, 4.0
 STAR_ROUNDS, LEADERS = 1, 4
 PIECE = 1 << 16          # shingles whose minima are taken at a time, to stay in the processor's cache
 
-SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, planes array<long>"
+SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>, index array<long>, planes array<long>"
 SHINGLES = "doc_id long, shingles binary"
 
 
@@ -87,6 +87,12 @@ def band_keys(symbols: np.ndarray, chunks: int, width: int, bits: int) -> np.nda
     return keys.reshape(len(symbols), -1)
 
 
+def packed(symbols: np.ndarray, chunks: int, width: int, bits: int) -> np.ndarray:
+    """The symbols of each chunk side by side in one 64-bit word."""
+    symbols = (symbols & np.uint64((1 << bits) - 1)).reshape(len(symbols), chunks, width)
+    return np.bitwise_or.reduce(symbols << (np.arange(width, dtype=np.uint64) * np.uint64(bits)), axis=2).view(np.int64)
+
+
 def bit_planes(symbols: np.ndarray) -> np.ndarray:
     """Two bits of every symbol: first all lower, then all upper bits, as 64-bit words (symbols per row: a multiple of 64)."""
     return np.concatenate([np.packbits(((symbols >> np.uint64(20 + bit)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
@@ -95,7 +101,7 @@ def bit_planes(symbols: np.ndarray) -> np.ndarray:
 
 def _signer(width: int, chunks: int, symbols: int, bits: int, total: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
-                        ("keys", pa.list_(pa.int64())), ("planes", pa.list_(pa.int64()))])
+                        ("keys", pa.list_(pa.int64())), ("index", pa.list_(pa.int64())), ("planes", pa.list_(pa.int64()))])
 
     def sign(batches):
         for batch in batches:
@@ -104,17 +110,19 @@ def _signer(width: int, chunks: int, symbols: int, bits: int, total: int):
                 full = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[full]
                 s1, s2 = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
-                keys, planes = [None] * len(sizes), [None] * len(sizes)
+                keys, index, planes = [None] * len(sizes), [None] * len(sizes), [None] * len(sizes)
                 if len(full):
                     s1[full] = np.add.reduceat(hashes, starts)
                     s2[full] = np.add.reduceat(mixed(hashes + np.uint64(1)), starts)
                     drawn = mixed(minima(hashes, sizes[full], total).astype(np.uint64) + np.uint64(1))
-                    found = zip(full.tolist(), band_keys(drawn[:, :chunks * symbols], chunks, symbols, bits).view(np.int64), bit_planes(drawn))
-                    for row, key, plane in found:
-                        keys[row], planes[row] = key, plane
+                    head = drawn[:, :chunks * symbols]
+                    found = zip(full.tolist(), band_keys(head, chunks, symbols, bits).view(np.int64),
+                                packed(head, chunks, symbols, bits), bit_planes(drawn))
+                    for row, key, chunk, plane in found:
+                        keys[row], index[row], planes[row] = key, chunk, plane
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].cast(pa.int64()), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))], schema=schema)
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(index, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))], schema=schema)
     return sign
 
 
@@ -142,6 +150,19 @@ def _judge(percent: int):
     return judge
 
 
+def _first_meeting(x: Column, y: Column, slot: Column, width: int, bits: int) -> Column:
+    """Whether `slot` (chunk * width + symbol left out) is the first at which two indexes meet, so that a pair is made once."""
+    ones = (1 << bits) - 1
+    others = [~(ones << k * bits) & ((1 << 64) - 1) for k in range(width)]
+    masks = [F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in others]
+
+    def meets(a, b):
+        return reduce(Column.__or__, [a.bitwiseXOR(b).bitwiseAND(m) == 0 for m in masks])
+    chunk = F.floor(slot / width).cast("int") + 1
+    return (F.array_position(F.zip_with(x, y, meets), True) == chunk) & (
+        (F.element_at(x, chunk) != F.element_at(y, chunk)) | (slot % width == 0))
+
+
 def _differing(x: Column, y: Column, words: int) -> Column:
     """In how many symbols two signatures differ."""
     return reduce(Column.__add__, [F.bit_count(x[i].bitwiseXOR(y[i]).bitwiseOR(x[i + words].bitwiseXOR(y[i + words])))
@@ -202,10 +223,10 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE, percent: int = S
     usable, same = sigs.where("doc_id is not null and n_shingles > 0"), ["s1", "s2", "n_shingles"]
     classes = usable.groupBy(same).agg(F.min("doc_id").alias("rep"))
     copies = usable.select("doc_id", *same).join(classes, same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first = usable.groupBy(same).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("planes").alias("planes"))
-    slots = first.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    first = usable.groupBy(same).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("planes").alias("planes"), F.first("index").alias("index"))
+    slots = first.select("doc_id", "n_shingles", F.posexplode("keys").alias("slot", "key"))
     shared = slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    slots = written(slots.join(shared, "key").join(first.select("doc_id", "planes"), "doc_id"), "minhash-slots")
+    slots = written(slots.join(shared, "key").join(first.select("doc_id", "planes", "index"), "doc_id"), "minhash-slots")
     wanted = small(written(slots.select("doc_id").distinct(), "minhash-wanted"))
     sets = written(documents.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
                    .mapInArrow(_setter(width), SHINGLES), "minhash-sets")
@@ -225,7 +246,7 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE, percent: int = S
                 opened = _unsettled(slots.join(label, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")))
             if opened.isEmpty():
                 break
-        member = F.struct("doc_id", "c", "n_shingles", "planes")
+        member = F.struct("doc_id", "c", "n_shingles", "planes", "index")
         if round_ < star_rounds:
             orders = [F.col("weight") if round_ + i == 0 else F.xxhash64("doc_id", F.lit(LEADERS * round_ + i)) for i in range(LEADERS)]
             drawn = [F.min(F.struct(o.alias("o"), member.alias("l"))).alias(f"l{i}") for i, o in enumerate(orders)]
@@ -237,6 +258,9 @@ def near_duplicates(documents: DataFrame, width: int = SHINGLE, percent: int = S
             (F.col("c") != F.col("l.c")) & (size * 100 >= F.col("l.n_shingles") * percent)
             & (F.col("l.n_shingles") * 100 >= size * percent)
             & (_differing(F.col("planes"), F.col("l.planes"), SYMBOLS // 64) <= limit))
+        if round_ == star_rounds:
+            pairs = pairs.where((F.col("doc_id") > F.col("l.doc_id"))
+                                & _first_meeting(F.col("index"), F.col("l.index"), F.col("slot"), symbols, bits))
         pairs = pairs.select(F.greatest("doc_id", "l.doc_id").alias("a"), F.least("doc_id", "l.doc_id").alias("b")).distinct()
         found = _confirmed(written(pairs, "minhash-pairs"), sets, percent)
         near = found if near is None else near.unionAll(found)

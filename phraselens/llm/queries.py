@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phraselens.llm import bloom_lm, bpe, common, decontaminate, line_dedup, minhash
+from phraselens.llm import bloom_lm, bpe, common, decontaminate, language, line_dedup, minhash, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,9 +44,21 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"), remainder(3) == 1)
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades: 0 not toxic, 1 toxic, 2 toxic in a text of low quality."""
+    labels = table(spark, folder, "labels")
+    grade = F.when(F.col("toxic") == 0, 0).when((F.col("toxic") == 1) & (F.col("quality") == 0), 2).when(F.col("toxic") == 1, 1)
+    return toxicity.severity(table(spark, folder, "documents"), labels.select("doc_id", grade.alias("grade")), remainder(5) == 1)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bloom_lm, op2_bpe_round_trip, op3_line_dedup, op6_decontaminate,
-    op7_minhash_near_dedup,
+    op7_minhash_near_dedup, op8_language_id,
+    op10_toxicity,
 )}
 
 # None of these operators is SQL: they are held against brute force in tests/llm.
