@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phraselens.llm import bloom_lm, bpe, common, decontaminate, language, line_dedup, minhash, toxicity
+from phraselens.llm import bloom_lm, bpe, common, decontaminate, language, line_dedup, minhash, secrets, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "lines_removed", "kept_in", "n_links", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bloom_lm, op2_bpe_round_trip, op3_line_dedup, op6_decontaminate,
+    op1_bloom_lm, op2_bpe_round_trip, op3_line_dedup, op4_secret_scan, op6_decontaminate,
     op7_minhash_near_dedup, op8_language_id,
     op10_toxicity,
 )}
