@@ -136,9 +136,9 @@ def _terms_udf(batches):
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question_share: float = QUESTION_SHARE,
                answer_share: float = ANSWER_SHARE, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """doc_id, n_passages, n_retrieved, score, items, contaminated: one row per row of documents.
+    """doc_id, text_hash, n_passages, n_retrieved, score, items, contaminated: one row per row of documents.
 
-    documents has doc_id and text, benchmark item_id and text; other columns are ignored. items are the ids of the
+    documents has doc_id and text, benchmark item_id and text; text_hash is xxhash64 of the text. Other columns are ignored. items are the ids of the
     items found, score the best of theirs (0 without one). Items that are null, or have fewer than MIN_WORDS words, are
     left out; null and empty texts have no passage. Repeated items are all reported. Statistics are those of the whole
     benchmark; the index is broadcast in groups of items of at most about index_bytes of text, each of which is one
@@ -166,4 +166,4 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
         found = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "same", "n_passages").agg(
             F.sum("n_retrieved").alias("n_retrieved"), F.max("score").alias("score"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.select("doc_id", "n_passages", "n_retrieved", "score", "items", (F.size("items") > 0).alias("contaminated"))
+    return found.select("doc_id", F.col("same").alias("text_hash"), "n_passages", "n_retrieved", "score", "items", (F.size("items") > 0).alias("contaminated"))

@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from phraselens.llm.common import shared
@@ -98,30 +99,29 @@ def _winner(names: list[str], chance: dict) -> tuple[str, float]:
     return best, sum(won[best]) / len(won[best])
 
 
+def _decide(model, text: str | None) -> tuple[str, float]:
+    found = sequences(text)
+    if not len(found) or not model.languages:
+        return UNDETERMINED, 0.0
+    share = np.bincount(found, minlength=BUCKETS) * (model.scale / len(found))
+    margins = model.weights[:, :-1] @ share + model.weights[:, -1] if len(model.duels) else []
+    chance = {}
+    for (a, b), margin in zip(model.duels, margins):
+        p = 1 / (1 + np.exp(-np.clip(2 * margin, -50, 50)))
+        chance[a, b], chance[b, a] = p, 1 - p
+    family, first = _winner(model.families, chance)
+    name, second = _winner(model.members[family], chance)
+    return name, float(first * second)
+
+
 def _predictor(sent):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def predict(batches):
         model = sent.value
         for batch in batches:
-            names, scores = [], []
-            for text in batch["text"].to_pylist():
-                found = sequences(text)
-                if not len(found) or not model.languages:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                share = np.bincount(found, minlength=BUCKETS) * (model.scale / len(found))
-                margins = model.weights[:, :-1] @ share + model.weights[:, -1] if len(model.duels) else []
-                chance = {}
-                for (a, b), margin in zip(model.duels, margins):
-                    p = 1 / (1 + np.exp(-np.clip(2 * margin, -50, 50)))
-                    chance[a, b], chance[b, a] = p, 1 - p
-                family, first = _winner(model.families, chance)
-                name, second = _winner(model.members[family], chance)
-                names.append(name)
-                scores.append(float(first * second))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names), pa.array(scores)], schema=schema)
+            found = [_decide(model, t) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array([n for n, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], schema=schema)
     return predict
 
 
@@ -154,6 +154,29 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(np.array(counts, np.float32).reshape(-1, BUCKETS), labels)
 
 
+def _keeper(sent):
+    def keep(batches):
+        model = sent.value
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            names = [_decide(model, t)[0] for t in texts]
+            stays = pa.array([n != UNDETERMINED if model.languages else len(sequences(t)) > 0 for n, t in zip(names, texts)], pa.bool_())
+            told = pa.array([n if n != UNDETERMINED else None for n in names], pa.string())
+            columns = [pa.compute.coalesce(batch[c], told) if c == "lang" else batch[c] for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(stays)
+    return keep
+
+
+def keep_determined(documents: DataFrame, held_out: Column, sample: int = SAMPLE) -> DataFrame:
+    """The rows of documents whose language identify() determines, a missing lang filled in; all columns stay.
+
+    If no row is labelled, the rows whose text has a letter.
+    """
+    labelled = documents.where(~F.coalesce(held_out, F.lit(False))).select("doc_id", "text", "lang")
+    sent = shared(documents.sparkSession, learn(labelled, sample))
+    return documents.mapInArrow(_keeper(sent), documents.schema)
+
+
 def identify(documents: DataFrame, held_out: Column, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per row of documents, which has doc_id, text and lang.
 

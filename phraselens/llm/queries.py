@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phraselens.llm import bloom_lm, bpe, chat, common, decontaminate, language, line_dedup, minhash, secrets, toxicity
+from phraselens.llm import bloom_lm, bpe, chat, common, decontaminate, language, line_dedup, lsh, minhash, secrets, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"), remainder(3) == 1)
 
 
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh.nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Grades: 0 not toxic, 1 toxic, 2 toxic in a text of low quality."""
     labels = table(spark, folder, "labels")
@@ -68,7 +72,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bloom_lm, op2_bpe_round_trip, op3_line_dedup, op4_secret_scan, op5_chat_format, op6_decontaminate,
-    op7_minhash_near_dedup, op8_language_id,
+    op7_minhash_near_dedup, op8_language_id, op9_nearest_neighbours,
     op10_toxicity,
 )}
 
