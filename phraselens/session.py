@@ -57,5 +57,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     recomputation, and Spark knows the size when it plans the joins.
     """
     path = run_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
