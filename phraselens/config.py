@@ -22,7 +22,6 @@ ELBOW_ITERATIONS = 10
 SEED = 42
 TEST_FRACTION = 0.2
 SAMPLE_FRACTION = 0.1
-SAMPLE_CAP = 15_000
 TRAIN_PAIR_CAP = 1_000
 VALIDATION_PAIR_CAP = 500
 TEXT_NEIGHBOURS = 10

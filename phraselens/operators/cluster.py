@@ -32,13 +32,9 @@ def with_unit_features(vectors: DataFrame) -> DataFrame:
             .transform(with_features(vectors).withColumnRenamed("features", "_raw")).drop("_raw"))
 
 
-def distinct_points(vectors: DataFrame, enough: int) -> int:
-    """How many different vectors there are, counted exactly only up to about `enough`."""
-    key = F.xxhash64("embedding")
-    estimate = vectors.agg(F.approx_count_distinct(key)).first()[0]
-    if estimate > 2 * enough:
-        return estimate
-    return vectors.select(key.alias("key")).distinct().count()
+def distinct_points(vectors: DataFrame) -> int:
+    """How many different vectors there are."""
+    return vectors.select(F.xxhash64("embedding").alias("key")).distinct().count()
 
 
 def fit_kmeans(vectors: DataFrame, k: int = KMEANS_K, iterations: int = KMEANS_ITERATIONS, seed: int = SEED) -> KMeansModel:
@@ -46,7 +42,7 @@ def fit_kmeans(vectors: DataFrame, k: int = KMEANS_K, iterations: int = KMEANS_I
 
     There are never more clusters than different vectors.
     """
-    k = max(2, min(k, distinct_points(vectors, k)))
+    k = max(2, min(k, distinct_points(vectors)))
     points = with_unit_features(vectors).select("features").persist()
     model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
     points.unpersist()
@@ -54,15 +50,16 @@ def fit_kmeans(vectors: DataFrame, k: int = KMEANS_K, iterations: int = KMEANS_I
 
 
 def elbow_curve(vectors: DataFrame, id_col: str, ks: Iterable[int] = ELBOW_K, iterations: int = ELBOW_ITERATIONS,
-                seed: int = SEED, parallelism: int = 4) -> DataFrame:
-    """Objective per k on one fixed sample, kept in memory for all the fits (at most 15,000 rows).
+                seed: int = SEED, parallelism: int = 4, fraction: float | None = None, cap: int | None = None) -> DataFrame:
+    """Objective per k on all rows or, if a fraction is given, on one fixed sample of them (at most `cap` rows).
 
-    Ends where k exceeds the number of different vectors in the sample.
+    The rows are kept in memory or on disk for all the fits. Ends where k exceeds the number of different vectors.
     """
     spark = vectors.sparkSession
-    sample = with_unit_features(fixed_sample(vectors, id_col, seed=seed)).select("embedding", "features").persist()
+    rows = vectors if fraction is None else fixed_sample(vectors, id_col, fraction, cap, seed)
+    sample = with_unit_features(rows).select("embedding", "features").persist()
     ks = list(ks)
-    most = distinct_points(sample, max(ks))
+    most = distinct_points(sample)
 
     def cost(k: int) -> tuple[int, float]:
         model = KMeans(k=k, maxIter=iterations, seed=seed).fit(sample.select("features"))

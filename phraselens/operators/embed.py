@@ -6,9 +6,11 @@ An embedder adds an `embedding` column to a DataFrame row by row, without a shuf
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+import hashlib
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -40,6 +42,10 @@ class HashedEmbedder:
         self.dim = dim
         self.stop_words = custom_stop_words() if stop_words is None else list(stop_words)
 
+    def fingerprint(self) -> str:
+        """What the vectors depend on, for the digest of stored stages."""
+        return repr((type(self).__name__, self.dim, self.stop_words))
+
     def embed(self, df: DataFrame, text_col: str) -> DataFrame:
         buckets = df.withColumn("_tokens", ft.tokens(F.col(text_col)))
         kept = StopWordsRemover(inputCol="_tokens", outputCol="_kept", stopWords=self.stop_words,
@@ -58,6 +64,10 @@ class ModelEmbedder:
     def __init__(self, model: PipelineModel, input_col: str, output_col: str):
         self.model, self.input_col, self.output_col = model, input_col, output_col
 
+    def fingerprint(self) -> str:
+        """The stages' parameters and uids: a pipeline fitted anew has other uids."""
+        return repr([(type(s).__name__, s.uid, sorted((p.name, str(v)) for p, v in s.extractParamMap().items())) for s in self.model.stages])
+
     def embed(self, df: DataFrame, text_col: str) -> DataFrame:
         tokenised = df.withColumn(self.input_col, ft.tokens(F.col(text_col)))
         out = self.model.transform(tokenised).withColumn("embedding", vector_to_array(self.output_col))
@@ -84,6 +94,10 @@ class FunctionEmbedder:
     def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 64):
         self.load, self.batch_size = load, batch_size
 
+    def fingerprint(self) -> str:
+        """The loader's pickled code and what it closes over."""
+        return hashlib.md5(cloudpickle.dumps(self.load)).hexdigest()
+
     def embed(self, df: DataFrame, text_col: str) -> DataFrame:
         load, size = self.load, self.batch_size
         schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])

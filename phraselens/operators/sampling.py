@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from phraselens.config import SAMPLE_CAP, SAMPLE_FRACTION, SEED, TEST_FRACTION
+from phraselens.config import SAMPLE_FRACTION, SEED, TEST_FRACTION
 from phraselens.operators.skew import CUT_ROWS, class_counts, first_by_hash
 
 
@@ -32,9 +32,9 @@ def stratified_split(corpus: DataFrame, fraction: float = TEST_FRACTION, seed: i
     return labelled.withColumn("split", F.when(in_test, "test").otherwise("train"))
 
 
-def fixed_sample(df: DataFrame, id_col: str, fraction: float = SAMPLE_FRACTION, cap: int = SAMPLE_CAP,
+def fixed_sample(df: DataFrame, id_col: str, fraction: float = SAMPLE_FRACTION, cap: int | None = None,
                  seed: int = SEED, cut_rows: int = CUT_ROWS) -> DataFrame:
-    """min(int(fraction * n), cap) rows without replacement."""
+    """int(fraction * n) rows without replacement, at most `cap` if it is given."""
     n = df.count()
-    take = min(int(fraction * n), cap)
+    take = int(fraction * n) if cap is None else min(int(fraction * n), cap)
     return df.where(first_by_hash(df, id_col, seed, {None: take}, sizes={None: n}, cut_rows=cut_rows))

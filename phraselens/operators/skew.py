@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 10_000
-PLAIN_JOIN_ROWS = 5_000_000
 HOT_KEYS = 10_000
 CUT_ROWS = 100_000
 MAX_CLASSES = 1_000
@@ -21,7 +20,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def join_unique(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                plain_rows: int = PLAIN_JOIN_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+                hot_keys: int = HOT_KEYS) -> DataFrame:
     """Join many rows to a table with few rows per key, whatever share of `rows` one key holds.
 
     A key is hot when it holds more than 1/hot_keys of the rows, so there are at most `hot_keys`
@@ -29,8 +28,6 @@ def join_unique(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left",
     and none of their groups can be large.
     """
     total = rows.count()
-    if total <= plain_rows:
-        return rows.join(lookup, key, how)
     hot = (rows.groupBy(key).count().where(F.col("count") > total / hot_keys)
            .select(key, F.lit(True).alias("_hot")).persist())
     flagged = rows.join(F.broadcast(hot), key, "left")

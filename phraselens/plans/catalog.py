@@ -70,7 +70,7 @@ def csv_round_trip(spark, folder):
 def snapshot_round_trip(spark, folder):
     root = run_dir(spark, "snapshots")
     digest = Settings().digest()
-    snapshots.write_snapshot(corpus(spark, folder).limit(0), root, "corpus", digest)
+    snapshots.write_snapshot(corpus(spark, folder, "quality"), root, "corpus", digest)
     snapshots.write_snapshot(corpus(spark, folder), root, "corpus", digest)
     return longs(snapshots.read_snapshot(spark, root, "corpus", digest), "label")
 
@@ -95,7 +95,7 @@ def stop_word_usage(spark, folder):
 
 
 def relevant_phrases(spark, folder):
-    """Boost flag and boosted score of every chosen phrase's best candidate form."""
+    """Boost flag of every chosen phrase."""
     counts = op.phrase_counts(corpus(spark, folder))
     return counts.select("phrase", ft.has_any_word(ft.clean_phrase(F.col("phrase")), fw.BOOST_WORDS).alias("relevant"))
 

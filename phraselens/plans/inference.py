@@ -47,9 +47,11 @@ def explain_distinct(texts: DataFrame, index: DataFrame, embedder, profile: Extr
 
 def explain(docs: DataFrame, index: DataFrame, embedder, id_col: str = "doc_id", text_col: str = "text",
             profile: ExtractProfile = INFER) -> DataFrame:
-    """Explained result per row of `docs`; copies of a text are analysed once."""
-    rows = docs.select(id_col, F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    """Explained result per row of `docs`; copies of a text are analysed once, a missing text is not classified."""
+    rows = docs.select(id_col, F.col(text_col).alias("text"))
     texts = written(distinct_texts(rows, None).select("text_key", "text"), "texts")
     results = written(explain_distinct(texts, index, embedder, profile), "results")
     keyed = rows.select(id_col, text_key(F.col("text")).alias("text_key"))
-    return join_unique(keyed, results, "text_key").drop("text_key")
+    return join_unique(keyed, results, "text_key").drop("text_key").withColumns({
+        "overall_classification": F.coalesce("overall_classification", F.lit(classify.UNABLE)),
+        "phrases": F.coalesce("phrases", F.array()), "summary": F.coalesce("summary", F.lit(classify.NO_PHRASES))})

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+import hashlib
 
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, functions as F
 
-from phraselens.config import Settings
+from phraselens.config import EXTRACT, Settings
+from phraselens.functions.words import BOOST_WORDS, custom_stop_words
 from phraselens.operators import checks, classify, cluster, phrases
 from phraselens.operators.embed import HashedEmbedder, phrase_id
 from phraselens.sources.snapshots import read_snapshot, stage, write_snapshot
@@ -28,13 +30,21 @@ class Trained:
     index: DataFrame
 
 
+def run_digest(corpus: DataFrame, settings: Settings, embedder) -> str:
+    """One digest of everything the stages depend on; the corpus enters as its row count and an order-free hash sum."""
+    rows, total = corpus.agg(F.count(F.lit(1)), F.sum(F.xxhash64("text", "label").cast("decimal(38,0)"))).first()
+    parts = (settings.digest(), embedder.fingerprint(), EXTRACT, custom_stop_words(), BOOST_WORDS, rows, str(total))
+    return hashlib.md5(repr(parts).encode()).hexdigest()
+
+
 def train(corpus: DataFrame, root: str, settings: Settings = Settings(), embedder=None) -> Trained:
     """Phrases -> vectors -> clusters -> statistics -> index, each stage kept as a snapshot under `root`.
 
-    `root` belongs to one corpus; a second run with the same settings reuses what is complete.
+    A second run under the same root reuses what is complete, but only for the same settings, embedder, extraction,
+    words and corpus: all of them are in the digest of the snapshots.
     """
-    spark, digest = corpus.sparkSession, settings.digest()
-    embedder = embedder or HashedEmbedder(settings.dim)
+    spark, embedder = corpus.sparkSession, embedder or HashedEmbedder(settings.dim)
+    digest = run_digest(corpus, settings, embedder)
     table = stage(spark, root, "phrases", digest, lambda: phrase_table(corpus, settings))
     vectors = stage(spark, root, "vectors", digest,
                     lambda: embedder.embed(table.select("phrase_id", "phrase"), "phrase").drop("phrase"))

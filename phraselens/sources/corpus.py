@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from phraselens.operators.skew import MAX_CLASSES
 from phraselens.schemas import CSV_CORPUS
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
@@ -22,10 +21,6 @@ def write_csv(corpus: DataFrame, path: str) -> None:
     corpus.select("text", "label").write.options(**CSV_OPTIONS).csv(path)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def with_row_ids(df: DataFrame) -> DataFrame:
     """Ids for rows that have none. Write the result once: a second evaluation may number differently."""
     return df.withColumn("doc_id", F.monotonically_increasing_id())
@@ -45,24 +40,31 @@ def normalise_labels(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def labelled_corpus(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, label from a document table and a label table."""
+    """doc_id, text, label from a document table and a label table; rejected_rows has what is left out."""
+    return _checked(documents, labels, label)[0]
+
+
+def rejected_rows(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """The joined rows that labelled_corpus leaves out, with the reason."""
+    return _checked(documents, labels, label)[1]
+
+
+def _checked(documents: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     joined = documents.select("doc_id", "text").join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
-    return normalise_labels(joined)[0]
+    return normalise_labels(joined)
 
 
 def label_codes(df: DataFrame, label: str = "label") -> DataFrame:
     """Distinct labels with class codes 0, 1, ... in label order and their names.
 
-    The ordered window sees only the distinct labels, whose number is checked.
+    The ordered window sees only the distinct labels.
     """
-    distinct = df.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct().persist()
-    if distinct.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} labels in {label!r}: not a class column")
+    distinct = df.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct()
     return distinct.select(
         "label", (F.dense_rank().over(W.orderBy("label")) - 1).alias("code"), F.col("label").cast("string").alias("name"))
 
 
 def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
-    """Add the class code of every row; broadcasting is safe after the check in label_codes."""
+    """Add the class code of every row; Spark broadcasts the codes if they are few."""
     codes = label_codes(df, label).select(F.col("label").alias(label), "code", "name")
-    return df.join(F.broadcast(codes), label, "left")
+    return df.join(codes, label, "left")

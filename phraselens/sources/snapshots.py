@@ -7,14 +7,20 @@ complete and fall back to older ones; a stage whose snapshot exists is not compu
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from phraselens.schemas import MANIFEST
 
-VERSIONS_TRIED = 20
+LOG = logging.getLogger(__name__)
+
+# What a reader meets when a snapshot's files are gone or damaged. Anything else is raised.
+GONE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "FileNotFoundException", "is not a Parquet file")
 
 
 def _manifests(spark: SparkSession, root: str) -> DataFrame:
@@ -41,13 +47,17 @@ def read_snapshot(spark: SparkSession, root: str, stage: str, digest: str | None
     wanted = F.col("stage") == stage
     if digest is not None:
         wanted = wanted & (F.col("digest") == digest)
-    for m in _manifests(spark, root).where(wanted).orderBy(F.desc("written_at")).limit(VERSIONS_TRIED).collect():
+    for m in _manifests(spark, root).where(wanted).orderBy(F.desc("written_at")).toLocalIterator():
         try:
             data = spark.read.parquet(m["path"])
             if data.count() == m["rows"]:
                 return data
-        except Exception:   # data gone or damaged: try the next older one
-            continue
+            reason = "rows are missing"
+        except (PySparkException, Py4JJavaError) as error:
+            reason = str(error).split("\n", 1)[0]
+            if not any(sign in str(error) for sign in GONE):
+                raise
+        LOG.warning("snapshot %s of %s passed over: %s", m["path"], stage, reason)
     return None
 
 

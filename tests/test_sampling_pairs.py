@@ -92,7 +92,7 @@ def test_hot_keys_join_like_any_other(spark, how):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     lookup = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = sorted(map(tuple, skew.join_unique(rows, lookup, "k", how).collect()), key=str)
-    split = sorted(map(tuple, skew.join_unique(rows, lookup, "k", how, plain_rows=10, hot_keys=100).collect()), key=str)
+    split = sorted(map(tuple, skew.join_unique(rows, lookup, "k", how, hot_keys=100).collect()), key=str)
     assert plain == split and len(split) >= 1000
 
 

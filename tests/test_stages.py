@@ -97,9 +97,10 @@ def test_explained_texts(spark, trained):
     _, model = trained
     docs = spark.createDataFrame([(1, BAD[0]), (2, GOOD[0]), (3, " "), (4, BAD[0]), (5, "the of"), (6, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in inference.explain(docs, model.index, embed.HashedEmbedder()).collect()}
-    assert set(rows) == {1, 2, 3, 4, 5}
+    assert set(rows) == {1, 2, 3, 4, 5, 6}   # a missing text is answered too
     assert rows[1]["overall_classification"] == rows[4]["overall_classification"] and rows[1]["phrases"] == rows[4]["phrases"]
     assert rows[3]["overall_classification"] == rows[5]["overall_classification"] == classify.UNABLE
+    assert rows[6]["overall_classification"] == classify.UNABLE and rows[6]["phrases"] == [] and rows[6]["text_analysis"] is None
     assert rows[3]["phrases"] == [] and rows[3]["summary"] == classify.NO_PHRASES and rows[3]["text_analysis"] is None
     assert 1 <= len(rows[1]["phrases"]) <= 5 and [p["rank"] for p in rows[1]["phrases"]] == list(range(1, len(rows[1]["phrases"]) + 1))
     assert rows[1]["text_analysis"]["avg_hate_ratio"] > rows[2]["text_analysis"]["avg_hate_ratio"]
@@ -133,3 +134,25 @@ def test_stream_verdicts_equal_batch(spark, trained, tmp_path):
                                    str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     key = lambda df: sorted((r["doc_id"], r["overall_classification"], str(r["phrases"])) for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(inference.explain(docs, model.index, embed.HashedEmbedder()))
+
+
+def test_other_embedder_is_another_run(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"hate stupid words number{i % 3} again", i % 2) for i in range(30)], "doc_id long, text string, label int")
+    digests = {training.run_digest(docs, Settings(), embed.HashedEmbedder(d)) for d in (64, 64, 128)}
+    digests.add(training.run_digest(docs.where("doc_id > 0"), Settings(), embed.HashedEmbedder(64)))
+    assert len(digests) == 3
+
+
+def test_older_versions_are_all_tried_and_faults_raised(spark, tmp_path, monkeypatch):
+    root, rows = str(tmp_path / "many"), spark.createDataFrame([(1,), (2,)], "x long")
+    snapshots.write_snapshot(rows, root, "s", "d")
+    for _ in range(3):
+        made = snapshots.write_snapshot(rows, root, "s", "d")
+        shutil.rmtree(made.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    assert snapshots.read_snapshot(spark, root, "s", "d").count() == 2
+
+    def broken(*_):
+        raise PermissionError("no access")
+    monkeypatch.setattr(type(spark.read), "parquet", broken)
+    with pytest.raises(Exception):
+        snapshots.read_snapshot(spark, root, "s", "d")
