@@ -87,7 +87,7 @@ class Model:
         self.scale = float(1 / np.maximum(np.sqrt((x * x).sum(axis=1)).mean(), 1e-9)) if len(x) else 1.0
         x = np.hstack([x * self.scale, np.ones((len(x), 1))]).astype(np.float32)
         columns = [support_vector_machine(x[first | second], np.where(first[first | second], 1.0, -1.0)) for first, second in tasks]
-        self.weights = np.array(columns).reshape(len(columns), -1)
+        self.weights = np.array(columns).reshape(len(columns), BUCKETS + 1)
 
 
 def _winner(names: list[str], chance: dict) -> tuple[str, float]:

@@ -154,7 +154,7 @@ def test_template_language():
     said = [{"role": "user", "content": " Hi "}, {"role": "assistant", "content": "Yo"}]
     source = ("{% for m in messages %}{% if loop.first %}>{% endif %}{{ m['role'] | upper }}:{% if m.role == 'assistant' %}{% generation %}"
               "{{ m.content | trim }}{% endgeneration %}{% else %}{{ m.content | trim }}{% endif %}{% if not loop.last %};{% endif %}{% endfor %}")
-    assert run(source, said) == (">USER:Hi;ASSISTANT:Yo", [(18, 20)])
+    assert run(source, said) == (">USER:Hi;ASSISTANT:Yo", [(19, 21)])
     for bad in ("{{ ''.__class__ }}", "{{ messages.append }}"):
         with pytest.raises(chat.TemplateError):
             run(bad)
