@@ -70,8 +70,8 @@ class Index:
             found, count = np.unique(c, return_counts=True)
             weight = idf[found] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(c) / mean))
             self.impact[found, n // BLOCK, n % BLOCK] = weight / weight.sum()
-        self.block_max = self.impact.max(axis=2)
-        self.term_max = self.block_max.max(axis=1)
+        self.block_max = self.impact.max(axis=2, initial=0.0)
+        self.term_max = self.block_max.max(axis=1, initial=0.0)
 
 
 def _finder(sent, step: int, threshold: float, question_share: float, answer_share: float):

@@ -77,7 +77,7 @@ def without_repeats(texts, threshold=1, least=16):
     lines = sorted({x for t in texts.values() for x in (t or "").split("\n") if x.strip(" ")})
     long = [x for x in lines if len(x) >= max(least, threshold + 1)]
     links = [(a, b) for n, a in enumerate(long) for b in long[n + 1:]
-             if abs(len(a) - len(b)) <= threshold and (a[:20] == b[:20] or a[-20:] == b[-20:] or len(a) < 60) and edit_distance(a, b) <= threshold]
+             if abs(len(a) - len(b)) <= threshold and (threshold > 1 or a[:20] == b[:20] or a[-20:] == b[-20:] or len(a) < 60) and edit_distance(a, b) <= threshold]
     root, keeper, out = roots(lines, links), {}, {}
     for i in sorted(texts):
         for x in (texts[i] or "").split("\n"):
