@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from phraselens.llm.common import shared
 
-TABLE_PIECES = 500_000      # pieces remembered between batches; forgetting them costs time only
+TABLE_PIECES = 150_000      # pieces remembered between slices; forgetting them costs time only
+SLICE = 200                 # texts cut and merged at a time
 
 
 def byte_alphabet() -> list[str]:
@@ -106,7 +107,7 @@ def _encoder(sent):
                                 if vocabulary.special else "(?!)()")
         special_ids = {t: np.array([i], "<u4").tobytes() for t, i in vocabulary.special.items()}
         table: dict[str, bytes] = {}
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             cut = []
             for text in batch["text"].to_pylist():
                 parts = special.split(text or "") if any(t in (text or "") for t in special_ids) else [text or ""]
@@ -153,6 +154,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(documents: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids) of every text encoded and decoded again."""
-    return decode(encode(documents, path), path).select(
+    sent = shared(documents.sparkSession, Vocabulary(path))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def both(batches):      # in one worker, not in two
+        return _decoder(sent)(_encoder(sent)(batches))
+    made = documents.select("doc_id", "text").mapInArrow(both, f"doc_id {kind}, ids binary, decoded string")
+    return made.select(
         "doc_id", *(["ids"] if keep_ids else []), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
