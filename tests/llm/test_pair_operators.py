@@ -57,6 +57,21 @@ def test_line_links_lose_nothing(spark, monkeypatch, threshold, hot):
     assert {i: t for i, t in kept.items()} == H.without_repeats(dict(enumerate(lines)), threshold)
 
 
+def test_line_dedup_allows_edits_by_length(spark):
+    """Two typos in a line of 40 characters and three in one of 200 are linked, three in 40 and two in 24 are not."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for n, typos in ((200, 3), (200, 4), (40, 2), (40, 3), (24, 1), (24, 2)):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(n - 2))
+        other = list(line)
+        for k in range(typos):
+            other[(2 * k + 1) * n // (2 * typos) - 1] = "Z"
+        rows += [(len(rows), f"x{line}x"), (len(rows) + 1, f"x{''.join(other)}x")]
+        want[len(rows) - 1] = (n, typos) in ((200, 3), (40, 2), (24, 1))
+    got = {r["doc_id"]: r["lines_removed"] == 1 for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in want} == want
+
+
 def test_line_dedup_on_documents(spark):
     docs = queries.table(spark, H.SMALL, "documents")
     want = H.without_repeats(texts_of(docs))
