@@ -72,6 +72,23 @@ def test_line_dedup_allows_edits_by_length(spark):
     assert {i: got[i] for i in want} == want
 
 
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_crowded_lines_are_split(spark, monkeypatch, threshold):
+    """Lines of 22 or 97 characters with a number in them share all but that; few pairs may meet, and no link may be lost."""
+    rng = random.Random(5)
+    numbers = rng.sample(range(10 ** 8), 60)
+    numbers += [x // 100 * 100 + rng.randrange(100) for x in numbers[:20]]
+    lines = sorted({f"user {x:08d} came in" for x in numbers} | {"a long line of a log " * 3 + f"{x:08d}" + " and what follows it there" for x in numbers})
+    texts, met, within = dict(enumerate(lines)), [], line_dedup._within
+
+    def counted(pairs, t):
+        met.append(pairs.count())
+        return within(pairs, t)
+    monkeypatch.setattr(line_dedup, "_within", counted)
+    kept = texts_of(line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), threshold))
+    assert kept == H.without_repeats(texts, threshold) and met[0] < len(lines) ** 2 / 20
+
+
 def test_line_dedup_on_documents(spark):
     docs = queries.table(spark, H.SMALL, "documents")
     want = H.without_repeats(texts_of(docs))
