@@ -8,7 +8,7 @@ short and long items. All items above a share of THRESHOLD are retrieved.
 WAND runs over a batch of passages at a time: passages whose sum of word maxima stays below the threshold are skipped,
 then blocks of BLOCK items whose sum of block maxima does; items are scored in the blocks that are left. Both sums are
 upper bounds, so nothing above the threshold is missed. A retrieved item counts when the passage also holds the given
-shares of the word trigrams of its question and of its answer.
+shares of the word trigrams of its question and of its answer, or nearly all trigrams of the whole item.
 """
 
 from __future__ import annotations
@@ -24,9 +24,12 @@ from phraselens.llm.common import MARKS, Coder, shared, words
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 QUESTION_SHARE, ANSWER_SHARE = 0.6, 0.6
+WHOLE_MISSING = 0.25            # share of all the item's trigrams
+SHORT_ANSWER = 5                # words
 MIN_WORDS = 8                   # shorter items are too common to prove a leak and are left out
 BLOCK = 16
-INDEX_BYTES = 8 << 20           # text of the items in one broadcast index
+INDEX_BYTES = 64 << 20          # one broadcast index as built
+WORD_BYTES, TERM_BYTES = 64, 160    # at most: of each word its code, posting and entry; of each term its place in the dictionary
 
 HITS = "doc_id long, same long, n_passages long, n_retrieved long, score double, items array<long>"
 
@@ -53,25 +56,55 @@ def grams(sequence: list, size: int = 3) -> set:
 
 
 class Index:
-    """Impacts of the items of one group, dense inside blocks; numbers are float64 throughout."""
+    """Postings of the items of one group by term, cut into blocks of BLOCK items; numbers are float64 throughout.
+
+    Postings lie term by term in item order: items and impacts. Entry e is the part of one term in one block: block[e],
+    its maximum top[e], its postings from starts[e] to starts[e + 1]; term t has the entries from edges[t] to edges[t + 1].
+    """
 
     def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], total: int, mean: float):
         self.ids = [i for i, _ in items]
-        texts = [terms(words(t)) for _, t in items]
-        self.parts = [tuple(map(grams, question_answer(t))) for _, t in items]
-        self.sizes = [tuple(min(3, len(p)) for p in question_answer(t)) for _, t in items]
         coder = Coder()
-        codes = [coder.codes(t) for t in texts]
+        self.parts = [tuple(coder.codes(p).astype(np.int32) for p in question_answer(t)) for _, t in items]
         self.term = dict(coder)
         idf = np.log1p([(total - frequency[w] + 0.5) / (frequency[w] + 0.5) for w in coder])
-        blocks = -(-len(items) // BLOCK)
-        self.impact = np.zeros((len(coder), blocks, BLOCK))
-        for n, c in enumerate(codes):
-            found, count = np.unique(c, return_counts=True)
-            weight = idf[found] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(c) / mean))
-            self.impact[found, n // BLOCK, n % BLOCK] = weight / weight.sum()
-        self.block_max = self.impact.max(axis=2, initial=0.0)
-        self.term_max = self.block_max.max(axis=1, initial=0.0)
+        term, item, impact = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for n, parts in enumerate(self.parts):
+            found, count = np.unique(np.concatenate(parts), return_counts=True)
+            weight = idf[found] * count * (K1 + 1) / (count + K1 * (1 - B + B * sum(map(len, parts)) / mean))
+            term.append(found), item.append(np.full(len(found), n, np.int32)), impact.append(weight / weight.sum())
+        term, item, impact = map(np.concatenate, (term, item, impact))
+        order = np.argsort(term, kind="stable")
+        term, self.items, self.impacts = term[order], item[order], impact[order]
+        block = self.items // BLOCK
+        begins = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+        self.block = block[begins]
+        self.top = np.maximum.reduceat(self.impacts, begins) if len(begins) else np.zeros(0)
+        self.starts = np.append(begins, len(term))
+        self.edges = np.searchsorted(term[begins], np.arange(len(coder) + 1))
+        self.term_max = np.maximum.reduceat(self.top, self.edges[:-1]) if len(coder) else np.zeros(0)
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    size = end - first
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
+def leaked(passage: list[int], question: list[int], answer: list[int], question_share: float, answer_share: float) -> bool:
+    """Whether the passage holds the shares of both parts, or all of the item but WHOLE_MISSING of its trigrams or one word.
+
+    No answer is marked, so that the whole item decides too. Answers of at most SHORT_ANSWER words match by words.
+    """
+    def held(part, size):
+        wanted = grams(part, size)
+        size = min(size, len(part))
+        return len(wanted & grams(passage, size)), len(wanted)
+    (q, n_q), (a, n_a) = held(question, 3), held(answer, 1 if len(answer) <= SHORT_ANSWER else 3)
+    if q >= question_share * max(n_q, 1) and a >= answer_share * max(n_a, 1):
+        return True
+    found, wanted = held(question + answer, 3)
+    return wanted - found <= max(3, WHOLE_MISSING * wanted)
 
 
 def _finder(sent, step: int, threshold: float, question_share: float, answer_share: float):
@@ -106,20 +139,21 @@ def _finder(sent, step: int, threshold: float, question_share: float, answer_sha
                 edges = np.searchsorted(at, np.arange(n_steps + 1))
                 for b in begins[pair >= threshold].tolist():
                     mine = np.unique(term[edges[b]:edges[b + 1 + follows[b]]])
-                    live = np.flatnonzero(index.block_max[mine].sum(axis=0) >= threshold)
-                    if not len(live):
+                    entries = _ranges(index.edges[mine], index.edges[mine + 1])
+                    live = np.bincount(index.block[entries], index.top[entries], -(-len(index.ids) // BLOCK)) >= threshold
+                    if not live.any():
                         continue
-                    scores = index.impact[mine][:, live].sum(axis=0)
-                    rows, columns = np.nonzero(scores >= threshold)
+                    entries = entries[live[index.block[entries]]]
+                    postings = _ranges(index.starts[entries], index.starts[entries + 1])
+                    scores = np.bincount(index.items[postings], index.impacts[postings])
+                    above = np.flatnonzero(scores >= threshold)
                     text = text_of[b]
                     place = (b - first[text]) * step
                     passage = None
-                    for n, score in zip((live[rows] * BLOCK + columns).tolist(), scores[rows, columns].tolist()):
-                        passage = passage or [vocabulary[c] for c in codes[text][place:place + 2 * step].tolist()]
+                    for n, score in zip(above.tolist(), scores[above].tolist()):
+                        passage = passage or term_of[codes[text][place:place + 2 * step]].tolist()
                         retrieved[text] += 1
-                        shares = [len(part & grams(passage, size)) / max(len(part), 1)
-                                  for part, size in zip(index.parts[n], index.sizes[n])]
-                        if shares[0] >= question_share and shares[1] >= answer_share:
+                        if leaked(passage, *(p.tolist() for p in index.parts[n]), question_share, answer_share):
                             items[text].add(index.ids[n])
                             best[text] = max(best[text], score)
             yield pa.RecordBatch.from_arrays(
@@ -141,17 +175,17 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
     documents has doc_id and text, benchmark item_id and text; text_hash is xxhash64 of the text. Other columns are ignored. items are the ids of the
     items found, score the best of theirs (0 without one). Items that are null, or have fewer than MIN_WORDS words, are
     left out; null and empty texts have no passage. Repeated items are all reported. Statistics are those of the whole
-    benchmark; the index is broadcast in groups of items of at most about index_bytes of text, each of which is one
-    pass over the documents. A single item longer than that is a group of its own.
+    benchmark; the index is broadcast in groups of items of about index_bytes of built index, each of which is one pass
+    over the documents; there are at most as many groups as items.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     listed = items.mapInArrow(_terms_udf, "item_id long, terms array<binary>").where(F.size("terms") >= MIN_WORDS)
     total, mean, longest, size = listed.agg(
-        F.count("*"), F.avg(F.size("terms")), F.max(F.size("terms")),
-        F.sum(F.aggregate("terms", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 1))).first()
+        F.count("*"), F.avg(F.size("terms")), F.max(F.size("terms")), F.sum(F.size("terms").cast("long"))).first()
     frequency = listed.select(F.explode(F.array_distinct("terms")).alias("w")).groupBy("w").count()
-    groups = 1 + (size or 0) // index_bytes
+    terms_size = frequency.agg(F.sum(F.octet_length("w") + TERM_BYTES)).first()[0]
+    groups = min(1 + ((size or 0) * WORD_BYTES + (terms_size or 0)) // index_bytes, max(total, 1))
     group = F.pmod(F.xxhash64("item_id"), F.lit(groups))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
     parts = []

@@ -143,6 +143,22 @@ def test_leaks(spark):
     assert {r["doc_id"]: r["items"] for r in groups} == want
 
 
+def test_near_copies_and_cut_items_leak(spark):
+    """Items with any one word replaced, and items without the last tenth of their words."""
+    items = queries.table(spark, H.SMALL, "benchmark")
+    rows, want = [], {}
+    for r in items.collect():
+        w = r["text"].split()
+        if len(decontaminate.terms(common.words(r["text"]))) < decontaminate.MIN_WORDS + 2:
+            continue
+        near = [w[:k] + ["qqqq"] + w[k + 1:] for k in range(len(w))] + [w[:len(w) - max(len(w) // 10, 1)]]
+        for x in near:
+            want[len(rows)] = r["item_id"]
+            rows.append((len(rows), " ".join(x)))
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert [r["doc_id"] for r in got if want[r["doc_id"]] not in r["items"]] == []
+
+
 def test_wand_misses_nothing(spark):
     """Retrieved items against BM25 shares computed plainly for every passage and item."""
     items = [(r["item_id"], r["text"]) for r in queries.table(spark, H.SMALL, "benchmark").collect()]
