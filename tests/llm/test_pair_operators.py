@@ -159,6 +159,14 @@ def test_near_copies_and_cut_items_leak(spark):
     assert [r["doc_id"] for r in got if want[r["doc_id"]] not in r["items"]] == []
 
 
+def test_index_holds_postings_only():
+    """3,000 items of 12 words of their own: a dense array of terms by items would take 860 MB."""
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(3_000)]
+    index = decontaminate.Index(items, {f"w{i}x{k}".encode(): 1 for i in range(3_000) for k in range(12)}, 3_000, 12.0)
+    arrays = [x for x in vars(index).values() if isinstance(x, np.ndarray)] + [x for p in index.parts for x in p]
+    assert sum(x.nbytes for x in arrays) < 36_000 * decontaminate.WORD_BYTES and np.allclose(np.bincount(index.items, index.impacts), 1)
+
+
 def test_wand_misses_nothing(spark):
     """Retrieved items against BM25 shares computed plainly for every passage and item."""
     items = [(r["item_id"], r["text"]) for r in queries.table(spark, H.SMALL, "benchmark").collect()]
