@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from phraselens.llm import bloom_lm, bpe, chat, common, decontaminate, language, line_dedup, lsh, minhash, secrets, toxicity
+from phraselens.llm import (
+    bloom_lm, bpe, chat, common, decontaminate, hard_negatives, language, line_dedup, lsh, minhash, periodic, secrets, toxicity, url_filter,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,10 +72,31 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.severity(table(spark, folder, "documents"), labels.select("doc_id", grade.alias("grade")), remainder(5) == 1)
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.with_periodic_tails(table(spark, folder, "documents"))))
+
+
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+def op12_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "rule string, verdict string")
+    return url_filter.filter_urls(table(spark, folder, "pages"), rules)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh id carries the next label; components are whole 256ths."""
+    rows = table(spark, folder, "embeddings").where(
+        "vec_id is not null and label is not null and embedding is not null and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.select(F.col("vec_id").alias("row_id"), label.cast("int").alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"))
+    return hard_negatives.mine(whole, F.col("row_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bloom_lm, op2_bpe_round_trip, op3_line_dedup, op4_secret_scan, op5_chat_format, op6_decontaminate,
     op7_minhash_near_dedup, op8_language_id, op9_nearest_neighbours,
-    op10_toxicity,
+    op10_toxicity, op11_periodic_runs, op12_url_filters, op13_hard_negatives,
 )}
 
 # None of these operators is SQL: they are held against brute force in tests/llm.
