@@ -385,6 +385,10 @@ def all_sql() -> dict[str, str]:
         [("ask", "SELECT phrase FROM (" + with_(counted("toxic"), "SELECT phrase FROM counts") + ")")] + LEXICAL + hashed("ask", "phrase", "phrase", "avec")
         + lexical_search("ask", "phrase", "avec", 5, "pn") + facts("pn", "f") + phrase_verdict("f", "v", 5),
         f"SELECT q AS phrase, * EXCLUDE (q) REPLACE ({r('confidence', 6)} AS confidence) FROM v")
+    sql["listed_neighbours"] = with_(
+        [("ask", "SELECT phrase FROM (" + with_(counted("quality"), "SELECT phrase FROM counts") + ")")] + LEXICAL + hashed("ask", "phrase", "phrase", "avec")
+        + lexical_search("ask", "phrase", "avec", 5, "pn"),
+        f"SELECT q AS phrase, rank, ph.phrase AS near_phrase, {r('sim', 6)} AS similarity FROM pn JOIN ph USING (phrase_id)")
     sql["classify_text"] = with_(
         LEXICAL + [("ask", "SELECT md5(text) AS k, any_value(text) AS text FROM documents GROUP BY 1")] + hashed("ask", "k", "text", "avec")
         + lexical_search("ask", "k", "avec", 10, "tn") + facts("tn", "f") + text_verdict("f", "v", 10),

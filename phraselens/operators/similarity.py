@@ -1,15 +1,17 @@
 """Exact top-K similarity join between two tables of vectors.
 
-Queries and index rows are hashed into blocks of bounded size and every (query block, index block)
-cell is one task: a matrix product that keeps K rows per query. Neither table is ever gathered at
-one place, no pair is emitted unless it is among the best K of its cell, and columns of the index
-(phrase, cluster, ratio) ride along, so the result needs no lookup join in which a phrase that is
-near everything would be a hot key.
+A small index is broadcast, its size checked, and every batch of queries is a matrix product with it. A larger one is
+cut into blocks with bounds (see `bounds`). A query first reads the blocks that promise most; the K-th best score
+there is what any other block has to reach, so in a second round it goes to those blocks only whose bound does.
+Queries and blocks meet in cells of bounded size that pass on K rows per query, so neither table is ever gathered at one
+place and what moves grows with the blocks that are read. Columns of the index (phrase, cluster, ratio) ride along, so
+the result needs no lookup join in which a phrase that is near everything would be a hot key.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +19,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from phraselens.operators.bounds import MAX_LISTS, LIST_LEVELS, Balls, Lists, build_balls, build_lists, matrix, sparse_columns
+from phraselens.session import written
+
 BLOCK_ROWS = 16_384         # 768 dimensions in double precision: 100 MB
-SMALL_QUERY_BLOCK = 256
+LOCAL_BYTES = 32 << 20      # an index up to this size is broadcast
+SPARSE_SHARE = 8            # vectors are sparse if they use less than one entry in so many
 CHUNK_CELLS = 4_000_000     # entries of one product matrix held at a time
+TASK_CELLS = 1 << 27        # query and index pairs a task compares, about
 DECIMALS = 9                # far below float32 noise, far above double-precision noise
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    rows = column.combine_chunks()
-    values = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(rows), -1)
-
-
 def _best(sims: np.ndarray, k: int) -> np.ndarray:
     """Mask of the k largest entries per row; among equals the lower column wins."""
     n = sims.shape[1]
@@ -41,26 +42,58 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return above | (level & (np.cumsum(level, axis=1) <= room))
 
 
+def _dense_scores(queries: pa.Table, index: pa.Table):
+    """(squares of queries, squares of index rows, products of some queries with all index rows)."""
+    q, x = matrix(queries["query"]), matrix(index["embedding"])
+    return np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x), lambda start, end: q[start:end] @ x.T
+
+
+def _sparse_scores(queries: pa.Table, index: pa.Table):
+    """The same from used buckets and weights: of a query only the entries that some index row uses are looked at."""
+    at, weight = (index[c].combine_chunks() for c in ("at", "weight"))
+    used, place = np.unique(at.flatten().to_numpy(), return_inverse=True)
+    size = np.diff(at.offsets.to_numpy())
+    most = int(size.max(initial=0))
+    slot = (np.repeat(np.arange(len(size)), size), np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size))
+    buckets, weights = np.zeros((len(size), most), np.int64), np.zeros((len(size), most))
+    buckets[slot], weights[slot] = place, weight.flatten().to_numpy()
+    q_at, q_weight = (queries[c].combine_chunks() for c in ("q_at", "q_weight"))
+    offsets, entry = q_at.offsets.to_numpy(), q_at.flatten().to_numpy()
+    column = np.minimum(np.searchsorted(used, entry), max(len(used) - 1, 0))
+    hit = used[column] == entry if len(used) else np.zeros(len(entry), bool)
+    row = np.repeat(np.arange(len(q_at)), np.diff(offsets))
+    values = q_weight.flatten().to_numpy()
+
+    def products(start: int, end: int) -> np.ndarray:
+        mine = hit & (row >= start) & (row < end)
+        q = np.zeros((end - start, max(len(used), 1)))
+        q[row[mine] - start, column[mine]] = values[mine]
+        out = np.zeros((end - start, len(size)))
+        for j in range(most):
+            out += q[:, buckets[:, j]] * weights[:, j]
+        return out
+    return np.asarray(queries["q_square"], np.float64), np.asarray(index["square"], np.float64), products
+
+
 def _search(queries: pa.Table, index: pa.Table, k: int, cosine: bool, skip_self: bool, schema: pa.Schema) -> pa.Table:
     """Top k index rows for each query of one cell, best first, equals by phrase_id."""
     if not queries.num_rows or not index.num_rows:
         return schema.empty_table()
     index = index.sort_by("phrase_id")
-    q, x = _matrix(queries["query"]), _matrix(index["embedding"])
-    x_sq = np.einsum("ij,ij->i", x, x)
+    q_square, x_square, products = (_sparse_scores if "at" in index.schema.names else _dense_scores)(queries, index)
     # A query is left out of its own result by position: where its id stands in the sorted index.
     own = pc.index_in(queries["q_id"].cast(index["phrase_id"].type), index["phrase_id"]) if skip_self else None
-    step = max(1, CHUNK_CELLS // len(x))
+    step = max(1, CHUNK_CELLS // len(x_square))
     rows, cols, sims, ranks = [], [], [], []
-    for start in range(0, len(q), step):
-        part = q[start:start + step]
-        s = part @ x.T
+    for start in range(0, len(q_square), step):
+        end = min(start + step, len(q_square))
+        s = products(start, end)
         if cosine:
-            squares = np.einsum("ij,ij->i", part, part)[:, None] * x_sq[None, :]
+            squares = q_square[start:end, None] * x_square[None, :]
             s = np.divide(s, np.sqrt(squares), out=np.zeros_like(s), where=squares > 0)
         s = np.floor(s * 10.0 ** DECIMALS + 0.5) / 10.0 ** DECIMALS
         if own is not None:
-            at = own.slice(start, len(part)).to_numpy(zero_copy_only=False).astype(np.float64)
+            at = own.slice(start, end - start).to_numpy(zero_copy_only=False).astype(np.float64)
             has = np.flatnonzero(~np.isnan(at))
             s[has, at[has].astype(int)] = -np.inf
         r, c = np.nonzero(_best(s, k))
@@ -77,44 +110,128 @@ def _search(queries: pa.Table, index: pa.Table, k: int, cosine: bool, skip_self:
     return pa.table([(made[f.name] if f.name in made else found[f.name]).cast(f.type) for f in schema], schema=schema)
 
 
-def top_k_neighbours(queries: DataFrame, index: DataFrame, k: int, cosine: bool = False,
-                     skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+@dataclass
+class Index:
+    """A searchable table: `rows` are the whole index, or with `blocks` the index cut into blocks."""
+
+    rows: DataFrame
+    size: int
+    cosine: bool
+    k: int
+    columns: list
+    blocks: Balls | Lists | None = None
+
+
+def prepare(index: DataFrame, k: int, cosine: bool = False, block_rows: int = BLOCK_ROWS, local_bytes: int = LOCAL_BYTES) -> Index:
+    """An index(phrase_id, embedding, ...) ready for any number of searches for at most k neighbours.
+
+    Rows without an embedding are left out. `cosine` divides by both norms; without it the inner product is used as it is.
+    """
+    index = written(index.where(F.col("embedding").isNotNull()), "vector-index")
+    extra = [c for c in index.columns if c not in ("phrase_id", "embedding")]
+    text = sum((F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ["phrase_id", *extra]), F.lit(0))
+    used = F.size(F.filter("embedding", lambda x: x != 0))
+    facts = index.agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"), F.sum(text).alias("text"),
+        F.max(used).alias("most"), F.avg(used).alias("mean"), F.min(F.array_min("embedding")).alias("least")).first()
+    fields = [index.schema["phrase_id"], *[index.schema[c] for c in extra]]
+    n, dim = facts["n"], facts["dim"] or 1
+    if n <= max(k, block_rows) and n * dim * 8 + (facts["text"] or 0) <= local_bytes:
+        return Index(index, n, cosine, k, fields)
+    sparse = facts["mean"] * SPARSE_SHARE <= dim and facts["least"] >= 0 and dim * LIST_LEVELS <= MAX_LISTS
+    if sparse:
+        rows, blocks = build_lists(index, dim, k, facts["most"], block_rows, cosine)
+    else:
+        rows, blocks = build_balls(index, n, dim, block_rows, cosine)
+    return Index(written(rows, "index-blocks"), n, cosine, k, fields, blocks)
+
+
+def _result_type(queries: DataFrame, index: Index) -> T.StructType:
+    fields = [T.StructField("q_id", queries.schema["q_id"].dataType), T.StructField("rank", T.IntegerType()), index.columns[0],
+              T.StructField("similarity", T.DoubleType()), *index.columns[1:]]
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+
+
+def _search_local(queries: DataFrame, n_queries: int, index: Index, k: int, skip_self: bool) -> DataFrame:
+    """Every batch of queries against the whole broadcast index; nothing is shuffled but to spread long work over tasks."""
+    cosine, schema = index.cosine, _result_type(queries, index)
+    arrow, sent = to_arrow_schema(schema), queries.sparkSession.sparkContext.broadcast(index.rows.toArrow())
+
+    def search(batches):
+        for batch in batches:
+            yield from _search(pa.Table.from_batches([batch]), sent.value, k, cosine, skip_self, arrow).to_batches()
+
+    tasks = math.ceil(n_queries * index.size / TASK_CELLS)
+    return (queries.repartition(tasks) if tasks > 1 else queries).mapInArrow(search, schema)
+
+
+def visits(queries: DataFrame, index: Index, first: bool) -> DataFrame:
+    """One row per query and block it reads, with what the cell needs of the query.
+
+    queries has q_id, query and, for the second round, least: the score that a block must be able to reach.
+    """
+    sent, sparse = queries.sparkSession.sparkContext.broadcast(index.blocks), isinstance(index.blocks, Lists)
+    kind = queries.schema["q_id"].dataType.simpleString()
+    schema = f"q_id {kind}, block int, " + ("q_at array<int>, q_weight array<double>, q_square double" if sparse else "query array<double>")
+
+    def plan(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                q = matrix(part["query"])
+                if sparse and (q < 0).any():
+                    raise ValueError("an index of vectors without negative entries is searched with such vectors only")
+                reads = sent.value.first(q) if first else sent.value.rest(q, np.asarray(part["least"], np.float64))
+                row, block = np.nonzero(reads)
+                carried = sparse_columns(q) if sparse else [pa.array(list(q), pa.list_(pa.float64()))]
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part["q_id"].take(taken), pa.array(block.astype(np.int32)), *[c.take(taken) for c in carried]],
+                    ["q_id", "block", *(("q_at", "q_weight", "q_square") if sparse else ("query",))])
+    return queries.mapInArrow(plan, schema)
+
+
+def _read(asked: DataFrame, n_queries: int, index: Index, k: int, skip_self: bool, schema: T.StructType) -> DataFrame:
+    """The best k of each cell of a block and a share of the queries."""
+    parts, cosine, arrow = 1 + n_queries // BLOCK_ROWS, index.cosine, to_arrow_schema(schema)
+    left = asked.withColumn("part", F.pmod(F.xxhash64("q_id"), F.lit(parts)).cast("int"))
+    right = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def cell(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        return _search(queries, rows, k, cosine, skip_self, arrow)
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(cell, schema)
+
+
+def _merge(found: DataFrame, k: int) -> DataFrame:
+    """The best k rows of each query; a row that several blocks hold counts once."""
+    best = W.partitionBy("q_id").orderBy(F.desc("similarity"), "phrase_id")
+    near = found.withColumn("rank", F.dense_rank().over(best)).where(F.col("rank") <= k)
+    return near.dropDuplicates(["q_id", "rank"])
+
+
+def _search_blocks(queries: DataFrame, n_queries: int, index: Index, k: int, skip_self: bool) -> DataFrame:
+    schema = _result_type(queries, index)
+    near = written(_merge(_read(visits(queries, index, True), n_queries, index, k, skip_self, schema), k), "first-neighbours")
+    # Fewer than k so far: any block may hold one of the best.
+    least = near.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("least"))
+    again = queries.join(least, "q_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    rest = _read(visits(again, index, False), n_queries, index, k, skip_self, schema)
+    return _merge(near.unionByName(rest), k).select(*[f.name for f in schema])
+
+
+def top_k_neighbours(queries: DataFrame, index: DataFrame | Index, k: int, cosine: bool = False, skip_self: bool = False,
+                     block_rows: int = BLOCK_ROWS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """For each row of queries(q_id, embedding) the k nearest of index(phrase_id, embedding, ...).
 
     Returns q_id, rank, phrase_id, similarity and the index's other columns. With fewer than k index
-    rows there are fewer neighbours. Ids must be unique. `cosine` divides by both norms; without it
-    the inner product is used as it is.
+    rows there are fewer neighbours. Ids must be unique. An index that is searched more than once should be
+    prepared first; how it is cut never changes the result.
     """
+    if not isinstance(index, Index):
+        index = prepare(index, k, cosine, block_rows, local_bytes)
+    if k > index.k:
+        raise ValueError(f"the index was prepared for at most {index.k} neighbours")
     # A column of its own for the queries: both tables may stem from the same one.
-    queries = queries.select("q_id", F.col("embedding").alias("query")).where(F.col("query").isNotNull())
-    index = index.where(F.col("embedding").isNotNull())
-    extra = [c for c in index.columns if c not in ("phrase_id", "embedding")]
-    spark = queries.sparkSession
-    n_queries, n_index = queries.count(), index.count()
-    x_blocks = max(1, math.ceil(n_index / block_rows))
-    # Few queries still spread over all cores, as long as a block is worth a task.
-    spread = min(math.ceil(n_queries / SMALL_QUERY_BLOCK), math.ceil(spark.sparkContext.defaultParallelism / x_blocks))
-    q_blocks = max(1, math.ceil(n_queries / block_rows), spread)
-
-    def block(column: str, count: int):
-        return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
-
-    def all_blocks(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    q_cells = queries.select("*", block("q_id", q_blocks).alias("qb"), all_blocks(x_blocks).alias("xb"))
-    x_cells = index.select("*", all_blocks(q_blocks).alias("qb"), block("phrase_id", x_blocks).alias("xb"))
-    fields = [T.StructField("q_id", queries.schema["q_id"].dataType), T.StructField("rank", T.IntegerType()),
-              T.StructField("phrase_id", index.schema["phrase_id"].dataType),
-              T.StructField("similarity", T.DoubleType()), *[index.schema[c] for c in extra]]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    arrow = to_arrow_schema(schema)
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _search(left, right, k, cosine, skip_self, arrow)
-
-    found = q_cells.groupBy("qb", "xb").cogroup(x_cells.groupBy("qb", "xb")).applyInArrow(cell, schema)
-    if x_blocks == 1:
-        return found
-    best = W.partitionBy("q_id").orderBy(F.desc("similarity"), "phrase_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    asked = queries.where(F.col("embedding").isNotNull()).select("q_id", F.col("embedding").cast("array<double>").alias("query"))
+    asked = written(asked, "queries")
+    return (_search_local if index.blocks is None else _search_blocks)(asked, asked.count(), index, k, skip_self)

@@ -24,6 +24,7 @@ from phraselens.sources import corpus as sc, snapshots
 from phraselens.streaming import counts as stream_counts, verdicts as stream_verdicts
 
 SEEDS = 10
+BALLS = 8
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -286,10 +287,21 @@ def topk_neighbours(spark, folder):
 
 
 def other_neighbours(spark, folder):
-    """Nearest vectors of every vector except itself."""
+    """Nearest vectors of every vector except itself, searched in balls."""
     index = vectors(spark, folder)
     queries = index.select(F.col("phrase_id").alias("q_id"), "embedding")
-    return show_neighbours(similarity.top_k_neighbours(queries, index, PHRASE_NEIGHBOURS, skip_self=True))
+    blocks = similarity.prepare(index, PHRASE_NEIGHBOURS, block_rows=index.count() // BALLS + 1, local_bytes=0)
+    return show_neighbours(similarity.top_k_neighbours(queries, blocks, PHRASE_NEIGHBOURS, skip_self=True))
+
+
+def listed_neighbours(spark, folder):
+    """Nearest frequent phrases of every counted phrase, searched in an inverted index."""
+    embedder = embed.HashedEmbedder()
+    phrases = op.phrase_counts(corpus(spark, folder, "quality")).select(F.col("phrase").alias("q_id"))
+    frequent = written(training.phrase_table(corpus(spark, folder, "quality")).select("phrase_id", "phrase"), "phrase-table")
+    lists = similarity.prepare(embedder.embed(frequent, "phrase"), PHRASE_NEIGHBOURS, cosine=True, local_bytes=0)
+    found = similarity.top_k_neighbours(embedder.embed(phrases, "q_id"), lists, PHRASE_NEIGHBOURS)
+    return longs(found, "rank").select(F.col("q_id").alias("phrase"), "rank", F.col("phrase").alias("near_phrase"), rounded(F.col("similarity"), 6).alias("similarity"))
 
 
 # --- clusters --------------------------------------------------------------------------------------
@@ -503,7 +515,7 @@ QUERIES = {f.__name__: f for f in (
     phrase_report, phrase_report_quality, band_counts, stop_phrase_filter, mmr_phrases, distinct_text_reuse,
     stratified_split, split_counts, fixed_sample, same_class_pairs, cross_class_pairs, validation_pairs, pair_counts,
     pair_correlation, normalise_vectors, hashed_embedding, model_embedding, function_embedding, consistency_check,
-    topk_neighbours, other_neighbours, cluster_join, cluster_stats, cluster_samples, unlabelled_cluster_stats,
+    topk_neighbours, other_neighbours, listed_neighbours, cluster_join, cluster_stats, cluster_samples, unlabelled_cluster_stats,
     percent_round_trip, last_cluster_wins, assign_centroid, lloyd_step, cluster_sizes, kmeans_fit, elbow_curve,
     corpus_summary, neighbour_ratio, adaptive_threshold, dense_phrase_verdicts, dense_text_verdicts,
     unable_to_classify, classify_phrase, classify_text, explained_result, explained_conversations,

@@ -25,8 +25,12 @@ def brute(q, x, k, cosine, skip_self):
     return out
 
 
+def found(table):
+    return [(r["q_id"], r["rank"], r["phrase_id"], r["similarity"], r["tag"]) for r in table.orderBy("q_id", "rank").collect()]
+
+
 @pytest.mark.parametrize("cosine", [False, True])
-@pytest.mark.parametrize("block_rows,k,skip_self", [(7, 4, False), (16_384, 4, True), (13, 60, True), (5, 1, False)])
+@pytest.mark.parametrize("block_rows,k,skip_self", [(7, 4, False), (16_384, 4, True), (13, 60, True), (5, 1, False), (6, 5, True)])
 def test_blocks_give_the_exact_neighbours(spark, block_rows, k, skip_self, cosine):
     rng = np.random.default_rng(1)
     x = rng.integers(-2, 3, size=(40, 4)).astype(float)     # many equal similarities
@@ -34,8 +38,65 @@ def test_blocks_give_the_exact_neighbours(spark, block_rows, k, skip_self, cosin
     q = x[:25] if skip_self else rng.integers(-2, 3, size=(25, 4)).astype(float)
     got = similarity.top_k_neighbours(vector_table(spark, q, "q_id"), vector_table(spark, x, "phrase_id"), k,
                                       cosine=cosine, skip_self=skip_self, block_rows=block_rows)
-    got = [(r["q_id"], r["rank"], r["phrase_id"], r["similarity"], r["tag"]) for r in got.orderBy("q_id", "rank").collect()]
-    assert got == brute(q, x, k, cosine, skip_self)
+    assert found(got) == brute(q, x, k, cosine, skip_self)
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+@pytest.mark.parametrize("block_rows,k,skip_self", [(7, 4, False), (40, 60, True), (5, 1, False), (9, 5, True)])
+def test_lists_give_the_exact_neighbours(spark, block_rows, k, skip_self, cosine):
+    rng = np.random.default_rng(2)
+    x = np.zeros((90, 40))
+    for row in x[1:]:
+        row[rng.choice(40, rng.integers(1, 5))] += rng.integers(1, 3)
+    x[50:60, 7] += 1                                        # a long list
+    q = x[:30] if skip_self else np.concatenate([x[5:20] + x[40:55], rng.integers(0, 2, size=(10, 40)), np.zeros((1, 40))]).astype(float)
+    index = similarity.prepare(vector_table(spark, x, "phrase_id"), k, cosine, block_rows, local_bytes=0)
+    assert type(index.blocks).__name__ == "Lists"
+    assert found(similarity.top_k_neighbours(vector_table(spark, q, "q_id"), index, k, skip_self=skip_self)) == brute(q, x, k, cosine, skip_self)
+
+
+def read_share(spark, queries, index, k):
+    """Blocks read in both rounds, as a share of all pairs of queries and blocks."""
+    rows = queries.select("q_id", F.col("embedding").alias("query"))
+    first = similarity.visits(rows, index, True)
+    schema = similarity._result_type(rows, index)
+    near = similarity._merge(similarity._read(first, 1, index, k, False, schema), k)
+    least = near.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("least"))
+    rest = similarity.visits(rows.join(least, "q_id").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), index, False)
+    blocks = index.rows.select("block").distinct().count()
+    return (first.count() + rest.count()) / (rows.count() * blocks)
+
+
+def test_few_blocks_are_read(spark):
+    """Near groups of dense vectors, and phrases of few words: a query meets a small share of the blocks."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    dense = np.repeat(centres, 50, axis=0) + rng.normal(size=(1000, 16)) * 0.02
+    queries = vector_table(spark, dense[::25], "q_id")
+    assert read_share(spark, queries, similarity.prepare(vector_table(spark, dense, "phrase_id"), 5, True, 50, 0), 5) < 0.15
+    sparse = np.zeros((1500, 256))
+    for row in sparse:
+        row[rng.choice(256, 3)] += 1
+    queries = vector_table(spark, sparse[::50], "q_id")
+    assert read_share(spark, queries, similarity.prepare(vector_table(spark, sparse, "phrase_id"), 5, True, 50, 0), 5) < 0.03
+
+
+def test_one_vector_in_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6))
+    x[100:200] = x[100]
+    index = similarity.prepare(vector_table(spark, x, "phrase_id"), 7, False, 20, 0)
+    assert max(r["count"] for r in index.rows.groupBy("block").count().collect()) <= 40
+    assert found(similarity.top_k_neighbours(vector_table(spark, x[90:110], "q_id"), index, 7)) == brute(x[90:110], x, 7, False, False)
+
+
+def test_prepared_indexes_say_what_they_can(spark):
+    index = similarity.prepare(vector_table(spark, np.eye(3), "phrase_id"), 2)
+    with pytest.raises(ValueError):
+        similarity.top_k_neighbours(vector_table(spark, np.eye(3), "q_id"), index, 3)
+    lists = similarity.prepare(vector_table(spark, np.eye(60), "phrase_id"), 2, block_rows=5, local_bytes=0)
+    with pytest.raises(Exception, match="negative"):
+        similarity.top_k_neighbours(vector_table(spark, -np.eye(60), "q_id"), lists, 2).count()
 
 
 def test_short_or_empty_index(spark):
@@ -46,7 +107,7 @@ def test_short_or_empty_index(spark):
 
 def test_search_has_no_cross_join(spark):
     plan = similarity.top_k_neighbours(vector_table(spark, np.eye(9), "q_id"), vector_table(spark, np.eye(9), "phrase_id"), 2,
-                                       block_rows=4)._jdf.queryExecution().executedPlan().toString()
+                                       block_rows=4, local_bytes=0)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
 
 
