@@ -1,20 +1,25 @@
-"""Candidate phrases of texts and their lexical score.
+"""Candidate phrases of texts, their lexical scores, and the choice of the best, made where the texts are read.
 
-One exchange, by text key, serves everything here: it merges copies of a text (map-side first, so
-a text that makes up a third of the corpus costs one row per map task), and every later step groups
-by keys that start with the text key, so Spark adds sorts but no further exchange.
+Spark splits a text into tokens; a kernel takes the tokens of many texts of an Arrow batch as one flat array of word
+numbers and forms, merges and scores the n-grams of all of them with sorts and sums over that array. Texts are never
+shuffled: what leaves the kernel is a few phrases per text (or all candidates, where these are asked for). Copies
+of a text within a batch are worked on once, so a text that makes up a third of a corpus costs next to nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from phraselens.config import MAX_NGRAM, ExtractProfile
 from phraselens.functions import text as ft
 
-# Per word of a phrase: the position of the first occurrence in the text, a number that stands for
-# the word within that text.
-WORD_IDS = [f"id{i}" for i in range(1, MAX_NGRAM + 1)]
+SLICE_TOKENS = 100_000      # tokens worked on at a time; a text is never cut
+DECIMALS = 1e4              # scores of chosen phrases have four decimals
 
 
 def text_key(text: Column) -> Column:
@@ -30,65 +35,143 @@ def distinct_texts(corpus: DataFrame, label: str | None = "label") -> DataFrame:
             .groupBy(text_key(F.col("text")).alias("text_key")).agg(*measures))
 
 
-def text_tokens(texts: DataFrame, profile: ExtractProfile, stop_words: list[str], carry=()) -> DataFrame:
-    """Tokens that are not stop words, in text order: text_key, pos, term, max_n.
-
-    Stop words go before n-grams are formed, so an n-gram may span the gap they leave. Exploding the
-    regular expression itself makes Spark evaluate it once per text; the n-gram limit needs a select
-    of its own, because what stands beside a generator is evaluated once per exploded row.
-    """
-    text = F.col("text")
-    return (texts.where(ft.has_min_chars(text, profile.min_chars))
-            .select("text_key", *carry, "text", ft.profile_ngram_limit(text, profile.banded).alias("max_n"))
-            .select("text_key", *carry, "max_n", F.posexplode(ft.tokens(text)).alias("pos", "term"))
-            .where(~F.col("term").isin(list(stop_words))))
+def shortened(score: np.ndarray) -> np.ndarray:
+    return np.floor(score * DECIMALS + 0.5) / DECIMALS
 
 
-def same_word_pairs(left, right) -> Column:
-    """Inner product of two short phrases as word-count vectors: equal pairs of positions."""
-    total = F.lit(0)
-    for a in left:
-        for b in right:
-            total = total + F.coalesce((a == b).cast("int"), F.lit(0))
-    return total
+class Grams:
+    """The different n-grams of several texts, in text order and within a text alphabetically, with their scores.
 
+    `words` holds the numbers of an n-gram's words, -1 beyond its length; equal numbers are equal words of one text.
+    `score` is the cosine of n-gram and text as word counts: sums are whole numbers, so the only rounding is in one
+    square root and one division.
+    """
 
-def candidate_phrases(tokens: DataFrame, carry=()) -> DataFrame:
-    """Distinct n-grams of every text with `score`, the cosine of phrase and text as word counts.
-
-    The inner product of a phrase with its text is the sum of the text frequencies of the phrase's
-    words, so positions carry their frequency along and no join is needed. All sums are whole
-    numbers; the only floating-point steps are one square root and one division.
+    def __init__(self, tokens: pa.ListArray, most: np.ndarray, stop: pa.Array):
+        self.texts = len(tokens)
+        coded = tokens.flatten().dictionary_encode()
+        order = pc.array_sort_indices(coded.dictionary)
+        self.vocabulary = coded.dictionary.take(order)
+        number = np.empty(len(order), np.int64)             # place of each word in the alphabet of this slice
+        number[order.to_numpy()] = np.arange(len(order))
+        codes = coded.indices.to_numpy()
+        # Stop words go before n-grams are formed, so an n-gram may span the gap they leave.
+        kept = ~pc.is_in(coded.dictionary, value_set=stop).to_numpy(zero_copy_only=False)[codes]
+        text = np.repeat(np.arange(self.texts), tokens.value_lengths().to_numpy())[kept]
+        size = max(len(order), 1)
+        key, own, times = np.unique(text * size + number[codes[kept]], return_inverse=True, return_counts=True)
+        self.alphabet = key % size                          # of each word of a text
+        text_square = np.bincount(text, times[own].astype(np.float64), self.texts)
+        levels = [(None, key // size, times, np.ones(len(key), np.int64), np.arange(len(key))[:, None])]
+        begin, prefix = np.arange(len(text)), own
+        for n in range(2, MAX_NGRAM + 1):
+            begin = begin[begin + n - 1 < len(text)]
+            begin = begin[(text[begin + n - 1] == text[begin]) & (most[text[begin]] >= n)]
+            if not len(begin):
+                break
+            _, of, dot, square, words = levels[-1]
+            # Sorted by the n-gram without its last word, then by that word: alphabetically, as level by level before.
+            found, which = np.unique(prefix[begin] * len(key) + own[begin + n - 1], return_inverse=True)
+            parent, last = found // len(key), found % len(key)
+            again = (words[parent] == last[:, None]).sum(axis=1)
+            levels.append((parent, of[parent], dot[parent] + times[last], square[parent] + 1 + 2 * again, np.column_stack([words[parent], last])))
+            prefix = np.full(len(text), -1)
+            prefix[begin] = which
+        # In the alphabet an n-gram comes right before the longer ones that begin with it.
+        family = [np.ones(len(level[1]), np.int64) for level in levels]
+        for i in range(len(levels) - 1, 0, -1):
+            family[i - 1] += np.bincount(levels[i][0], family[i], len(family[i - 1])).astype(np.int64)
+        total = sum(len(level[1]) for level in levels)
+        self.text, self.n, self.square = np.empty(total, np.int64), np.empty(total, np.int8), np.empty(total, np.int64)
+        self.words, dots, place = np.full((total, MAX_NGRAM), -1, np.int32), np.empty(total, np.int64), None
+        for n, (parent, of, dot, square, words) in enumerate(levels, 1):
+            ahead = np.cumsum(family[n - 1]) - family[n - 1]
+            place = ahead if parent is None else place[parent] + 1 + ahead - ahead[np.searchsorted(parent, parent)]
+            self.text[place], self.n[place], dots[place], self.square[place], self.words[place, :n] = of, n, dot, square, words
+        self.score = dots / np.sqrt(text_square[self.text] * self.square) if total else np.zeros(0)
+
+    def phrases(self, rows: np.ndarray) -> pa.Array:
+        words = self.words[rows]
+        parts = [self.vocabulary.take(pa.array(self.alphabet[w] if len(self.alphabet) else w, mask=w < 0)) for w in words.T]
+        return pc.binary_join_element_wise(*parts, " ", null_handling="skip").cast(pa.string())
+
+    def ranked(self, rows: np.ndarray, score: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows, the best `limit` of each text by score, equal ones in the given order; and their ranks from 0."""
+        order = np.lexsort((np.arange(len(rows)), -score, self.text[rows]))
+        text = self.text[rows[order]]
+        rank = np.arange(len(order)) - np.searchsorted(text, text)
+        return order[rank < limit], rank[rank < limit]
+
+    def has_word(self, rows: np.ndarray, wanted) -> np.ndarray:
+        """Whether a word of the n-gram is one of `wanted`."""
+        listed = pc.is_in(self.vocabulary, value_set=pa.array(list(wanted), self.vocabulary.type)).to_numpy(zero_copy_only=False)
+        words = self.words[rows]
+        return ((words >= 0) & (listed[self.alphabet[words]] if len(self.alphabet) else False)).any(axis=1)
+
+
+Choice = Callable[[Grams], tuple[np.ndarray, dict[str, pa.Array]]]
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of texts with about SLICE_TOKENS tokens, at least one text each."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if total and total + n > SLICE_TOKENS:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _kernel(choose: Choice, carry: list[str], stop_words: list[str]):
+    def run(batches):
+        stop = pa.array(list(stop_words), pa.string())
+        for batch in batches:
+            _, first, which = np.unique(batch["_same"].dictionary_encode().indices.to_numpy(), return_index=True, return_inverse=True)
+            tokens, most = batch["_tokens"].take(pa.array(first)), batch["_most"].to_numpy()[first]
+            rows_of = np.argsort(which, kind="stable")      # rows of the batch by their text
+            edges = np.searchsorted(which[rows_of], np.arange(len(first) + 1))
+            for start, end in _slices(tokens.value_lengths().to_numpy()):
+                text, columns = choose(Grams(tokens.slice(start, end - start), most[start:end], stop))
+                if not len(text):
+                    continue
+                found = np.searchsorted(text, np.arange(end - start + 1))
+                rows = rows_of[edges[start]:edges[end]]
+                size = np.diff(found)[which[rows] - start]
+                taken = np.repeat(found[which[rows] - start] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                owners = pa.array(np.repeat(rows, size))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch[c].take(owners) for c in carry], *[c.take(pa.array(taken)) for c in columns.values()]], [*carry, *columns])
+    return run
+
+
+def choose_phrases(texts: DataFrame, profile: ExtractProfile, stop_words: list[str], choose: Choice, fields: str, carry=("text_key",)) -> DataFrame:
+    """What `choose` makes of the candidates of every row of texts(text, ...), beside the columns to carry along.
+
+    `choose` gets the n-grams of several texts and returns the text of each chosen row, ascending, and columns as named in
+    `fields`. Rows whose text is null or too short have no candidate.
     """
-    by_term = W.partitionBy("text_key", "term")
-    by_text = W.partitionBy("text_key")
-    in_order = by_text.orderBy("pos")
-    counted = tokens.select("*", F.count(F.lit(1)).over(by_term).alias("tf"), F.min("pos").over(by_term).alias("word_id"))
-    placed = counted.select(
-        "text_key", *carry, "max_n",
-        F.sum("tf").over(by_text).alias("text_sq"),
-        F.col("term").alias("w1"), F.col("tf").alias("f1"), F.col("word_id").alias("id1"),
-        *[F.lead(column, i).over(in_order).alias(f"{short}{i + 1}")
-          for column, short in (("term", "w"), ("tf", "f"), ("word_id", "id")) for i in range(1, MAX_NGRAM)])
-
-    grams = []
-    for n in range(1, MAX_NGRAM + 1):
-        words = [F.col(f"w{i}") for i in range(1, n + 1)]
-        ids = [F.col(c) for c in WORD_IDS[:n]]
-        hit = sum((F.col(f"f{i}") for i in range(2, n + 1)), F.col("f1"))
-        gram = F.struct(F.concat_ws(" ", *words).alias("phrase"), F.lit(n).alias("n"), hit.alias("dot"),
-                        same_word_pairs(ids, ids).alias("phrase_sq"),
-                        *[(F.col(c) if i < n else F.lit(None).cast("int")).alias(c) for i, c in enumerate(WORD_IDS)])
-        grams.append(F.when((F.col("max_n") >= n) & words[-1].isNotNull(), gram))
-    exploded = (placed.select("text_key", *carry, "text_sq", F.explode(F.array(*grams)).alias("g"))
-                .where(F.col("g").isNotNull())
-                .select("text_key", *carry, "text_sq", "g.*"))
-    facts = [*carry, "text_sq", "n", "dot", "phrase_sq", *WORD_IDS]
-    merged = exploded.groupBy("text_key", "phrase").agg(*[F.max(c).alias(c) for c in facts])
-    length = F.sqrt((F.col("text_sq") * F.col("phrase_sq")).cast("double"))
-    return merged.select("text_key", *carry, "phrase", "n", "phrase_sq", *WORD_IDS,
-                         (F.col("dot").cast("double") / length).alias("score"))
-
-
-def score_texts(texts: DataFrame, profile: ExtractProfile, stop_words: list[str], carry=()) -> DataFrame:
-    return candidate_phrases(text_tokens(texts, profile, stop_words, carry), carry)
+    text = F.col("text")
+    key = F.col("text_key") if "text_key" in texts.columns else text_key(text)
+    carried = [key.alias(c) if c == "text_key" else F.col(c) for c in carry]
+    tokenised = texts.where(text.isNotNull() & ft.has_min_chars(text, profile.min_chars)).select(
+        *carried, key.alias("_same"), ft.tokens(text).alias("_tokens"), ft.profile_ngram_limit(text, profile.banded).alias("_most"))
+    kinds = ", ".join(f"`{c}` {tokenised.schema[c].dataType.simpleString()}" for c in carry)
+    return tokenised.mapInArrow(_kernel(choose, list(carry), stop_words), f"{kinds}{', ' if carry else ''}{fields}")
+
+
+def score_texts(texts: DataFrame, profile: ExtractProfile, stop_words: list[str], carry=("text_key",)) -> DataFrame:
+    """All different n-grams of every text: phrase, n, score, beside the columns to carry along."""
+    def everything(grams: Grams):
+        rows = np.arange(len(grams.text))
+        return grams.text, {"phrase": grams.phrases(rows), "n": pa.array(grams.n.astype(np.int32)), "score": pa.array(grams.score)}
+    return choose_phrases(texts, profile, stop_words, everything, "phrase string, n int, score double", carry)
+
+
+def best_candidates(texts: DataFrame, profile: ExtractProfile, stop_words: list[str], limit: int, carry=("text_key",)) -> DataFrame:
+    """The `limit` best-scored n-grams of every text: rank, phrase, score; equal scores alphabetically."""
+    def best(grams: Grams):
+        rows, rank = grams.ranked(np.arange(len(grams.text)), grams.score, limit)
+        return grams.text[rows], {"rank": pa.array((rank + 1).astype(np.int32)), "phrase": grams.phrases(rows), "score": pa.array(grams.score[rows])}
+    return choose_phrases(texts, profile, stop_words, best, "rank int, phrase string, score double", carry)

@@ -2,54 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from phraselens.config import EXTRACT, MIN_PHRASE_FREQUENCY, ExtractProfile
-from phraselens.functions import ratio as fr, text as ft
-from phraselens.functions.vectors import rounded
+from phraselens.functions import ratio as fr
 from phraselens.functions.words import BOOST_WORDS, custom_stop_words
-from phraselens.operators.candidates import distinct_texts, score_texts
+from phraselens.operators.candidates import Grams, choose_phrases, shortened
 
+CHOSEN = "rank int, phrase string, score double"
 
-def top_candidates(candidates: DataFrame, limit: int) -> DataFrame:
-    """The best-scored candidates of every text, with their rank."""
-    best = W.partitionBy("text_key").orderBy(F.desc("score"), "phrase")
-    return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
+def extract_phrases(texts: DataFrame, profile: ExtractProfile = EXTRACT, stop_words=None, carry=("text_key",), boost_words=BOOST_WORDS) -> DataFrame:
+    """Key phrases of every text by plain ranking and boost: rank, phrase, score, beside the columns to carry along.
 
-def boosted_phrases(top: DataFrame, profile: ExtractProfile = EXTRACT, boost_words=BOOST_WORDS) -> DataFrame:
-    """Re-rank after boosting phrases with a relevant word, keep top_k.
-
-    The score is rounded to 4 decimals before the boost; equal boosted scores keep their rank order.
+    Of the best 2 * top_k candidates, scores are rounded to 4 decimals, those of phrases with a relevant word are boosted, and
+    the best top_k stay; equal boosted scores keep their order.
     """
-    score = rounded(F.col("score"), 4)
-    phrase = ft.clean_phrase(F.col("phrase"))
-    boosted = top.select(
-        *[c for c in top.columns if c not in ("phrase", "score")], phrase.alias("phrase"),
-        F.when(ft.has_any_word(phrase, boost_words), score * F.lit(profile.boost)).otherwise(score).alias("score"))
-    final = W.partitionBy("text_key").orderBy(F.desc("score"), "rank")
-    return (boosted.withColumn("final_rank", F.row_number().over(final))
-            .where(F.col("final_rank") <= profile.top_k)
-            .drop("rank").withColumnRenamed("final_rank", "rank"))
-
-
-def extract_phrases(texts: DataFrame, profile: ExtractProfile = EXTRACT, stop_words=None, carry=()) -> DataFrame:
-    """Key phrases of distinct texts by plain ranking and boost: text_key, rank, phrase, score."""
-    stop_words = custom_stop_words() if stop_words is None else stop_words
-    candidates = score_texts(texts, profile, stop_words, carry).select("text_key", *carry, "phrase", "score")
-    return boosted_phrases(top_candidates(candidates, 2 * profile.top_k), profile)
+    def choose(grams: Grams):
+        top, _ = grams.ranked(np.arange(len(grams.text)), grams.score, 2 * profile.top_k)
+        score = shortened(grams.score[top])
+        boosted = np.where(grams.has_word(top, boost_words), score * profile.boost, score) if profile.boost else score
+        kept, rank = grams.ranked(top, boosted, profile.top_k)
+        return grams.text[top[kept]], {"rank": pa.array((rank + 1).astype(np.int32)), "phrase": grams.phrases(top[kept]), "score": pa.array(boosted[kept])}
+    return choose_phrases(texts, profile, custom_stop_words() if stop_words is None else stop_words, choose, CHOSEN, carry)
 
 
 def phrase_counts(corpus: DataFrame, profile: ExtractProfile = EXTRACT, stop_words=None) -> DataFrame:
-    """Per phrase: texts it was chosen for, positive ones and the others.
-
-    A text that occurs many times is scored once and counted with its multiplicity.
-    """
-    chosen = extract_phrases(distinct_texts(corpus), profile, stop_words, carry=("n_docs", "n_hate"))
+    """Per phrase: texts it was chosen for, positive ones and the others. The only exchange is that of phrase counts."""
+    chosen = extract_phrases(corpus, profile, stop_words, carry=("label",))
+    positive = F.count_if(F.col("label") == 1)
     return chosen.groupBy("phrase").agg(
-        F.sum("n_docs").alias("total_frequency"),
-        F.sum("n_hate").alias("hate_count"),
-        F.sum(F.col("n_docs") - F.col("n_hate")).alias("non_hate_count"))
+        F.count(F.lit(1)).alias("total_frequency"), positive.alias("hate_count"), (F.count(F.lit(1)) - positive).alias("non_hate_count"))
 
 
 def frequent(counts: DataFrame, minimum: int = MIN_PHRASE_FREQUENCY) -> DataFrame:

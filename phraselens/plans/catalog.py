@@ -119,13 +119,18 @@ def phrase_scores(spark, folder):
     return corpus_candidates(spark, folder).select(hex_key(), "phrase", "score")
 
 
+def once_per_text(chosen: DataFrame) -> DataFrame:
+    """Copies of a text have the same phrases; only phrases are exchanged, not texts."""
+    return chosen.dropDuplicates(["text_key", "rank"])
+
+
 def top_candidates(spark, folder):
-    top = op.top_candidates(corpus_candidates(spark, folder), 2 * EXTRACT.top_k)
-    return longs(top, "rank").select(hex_key(), "rank", "phrase", "score")
+    top = oc.best_candidates(corpus(spark, folder), EXTRACT, fw.custom_stop_words(), 2 * EXTRACT.top_k)
+    return longs(once_per_text(top), "rank").select(hex_key(), "rank", "phrase", "score")
 
 
 def boosted_phrases(spark, folder):
-    chosen = op.extract_phrases(oc.distinct_texts(corpus(spark, folder)))
+    chosen = once_per_text(op.extract_phrases(corpus(spark, folder)))
     return longs(chosen, "rank").select(hex_key(), "rank", "phrase", "score")
 
 
@@ -151,17 +156,14 @@ def stop_phrase_filter(spark, folder):
 
 
 def mmr_phrases(spark, folder):
-    texts = oc.distinct_texts(table(spark, folder, "documents"), None)
-    return longs(mmr.diverse_phrases(texts), "rank").select(hex_key(), "rank", "phrase", "score")
+    chosen = once_per_text(mmr.diverse_phrases(table(spark, folder, "documents")))
+    return longs(chosen, "rank").select(hex_key(), "rank", "phrase", "score")
 
 
 def distinct_text_reuse(spark, folder):
-    """Phrases of every document, with each different text analysed once."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    chosen = op.extract_phrases(oc.distinct_texts(docs, None))
-    keyed = docs.select("doc_id", oc.text_key(F.col("text")).alias("text_key"))
-    found = skew.join_unique(keyed, chosen, "text_key", "inner")
-    return longs(found, "rank").select("doc_id", "rank", "phrase", "score")
+    """Phrases of every document; the kernel analyses copies of a text within a batch once, and no text is moved."""
+    chosen = op.extract_phrases(table(spark, folder, "documents"), carry=("doc_id",))
+    return longs(chosen, "rank").select("doc_id", "rank", "phrase", "score")
 
 
 # --- splits, samples, pairs ------------------------------------------------------------------------

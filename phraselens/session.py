@@ -26,6 +26,9 @@ def tune(spark: SparkSession) -> SparkSession:
     """Smaller adaptive partitions: a partition of texts grows about fiftyfold when its n-grams are formed."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32kb")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16mb")
+    # A Python worker's memory must not follow the length of the texts.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark
 
 

@@ -6,12 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings as hsettings, strategies as st
 from pyspark.sql import functions as F
 
-from phraselens.config import EXTRACT, INFER
+from phraselens.config import EXTRACT, INFER, ExtractProfile
 from phraselens.functions.words import BOOST_WORDS, custom_stop_words
 from phraselens.operators import candidates as oc, mmr, phrases as op
 
@@ -125,14 +124,26 @@ def test_diverse_phrases(corpus):
         assert got.get(key(text), []) == want, text
 
 
-@given(st.lists(st.integers(0, 20), min_size=1, max_size=30))
+@given(st.lists(st.lists(st.integers(0, 20), max_size=30), min_size=1, max_size=5))
 @hsettings(max_examples=50, deadline=None)
-def test_without_diversity_the_best_scores_win(scores):
-    score = np.array(scores, dtype=float)
-    names = [f"p{i:02}" for i in range(len(scores))]
-    ids = np.stack([np.arange(len(scores)), *[np.full(len(scores), -1)] * 3], axis=1)
-    picks = mmr.greedy_picks(score, np.ones(len(scores)), ids, pa.chunked_array([names]), 10, 0.0)
-    assert picks == sorted(range(len(scores)), key=lambda i: (-scores[i], names[i]))[:10]
+def test_without_diversity_the_best_scores_win(texts):
+    score = np.array([s for t in texts for s in t], dtype=float)
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    words = np.stack([np.arange(len(score)), *[np.full(len(score), -1)] * 3], axis=1)
+    picks = mmr.greedy_picks(text, score, np.ones(len(score), int), words, 10, 0.0)
+    best = [sorted(np.flatnonzero(text == i), key=lambda r: (-score[r], r))[:10] for i in range(len(texts))]
+    assert sorted(picks) == sorted(r for rows in best for r in rows)
+
+
+def test_slices_and_copies_do_not_matter(spark, monkeypatch):
+    """Texts cut into slices of one, copies within a batch, and a text without any word give what whole batches give."""
+    rows = [(i, t) for i, t in enumerate(TEXTS * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, mmr.diverse_phrases(docs, carry=("doc_id",)).collect()))
+    assert {r[0] for r in want} == {i for i, t in rows if brute_candidates(t, False) and t.strip()}
+    assert {tuple(r[1:]) for r in want if r[0] == 0} == {tuple(r[1:]) for r in want if r[0] == len(TEXTS)}
+    monkeypatch.setattr(oc, "SLICE_TOKENS", 1)
+    assert sorted(map(tuple, mmr.diverse_phrases(docs, carry=("doc_id",)).collect())) == want
 
 
 def test_stop_phrases_are_dropped(spark):
@@ -141,21 +152,26 @@ def test_stop_phrases_are_dropped(spark):
 
 
 def test_boost_ties_keep_rank(spark):
-    df = spark.createDataFrame([(b"k", "bb", 0.5, 1), (b"k", "aa", 0.50001, 2), (b"k", "not cc", 0.45, 3), (b"k", "dd", 0.1, 4)],
-                               "text_key binary, phrase string, score double, rank int")
-    assert [r["phrase"] for r in op.boosted_phrases(df).orderBy("rank").collect()] == ["not cc", "bb", "aa"]
+    """Scores that are equal to four decimals, and boosted ones that become equal, stay in the order of the exact scores."""
+    profile = ExtractProfile(4, 1, False, 1.0, None)
+    text = " ".join(["bb"] * 1000 + ["aa"] * 1001 + ["cc"] * 1000 + ["dd"])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    chosen = [r["phrase"] for r in op.extract_phrases(docs, profile, [], ("doc_id",), ["bb"]).orderBy("rank").collect()]
+    exact = sorted(brute_candidates(text, False).items(), key=lambda x: (-x[1][0], x[0]))[:8]
+    assert chosen == [p for p, _ in sorted(exact, key=lambda x: -math.floor(x[1][0] * 1e4 + 0.5))][:4]
+    boosted = [r["phrase"] for r in op.extract_phrases(docs, ExtractProfile(4, 1, False, 2.0, None), [], ("doc_id",), ["bb"]).orderBy("rank").collect()]
+    assert all("bb" in p.split() for p in boosted[:2])
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_scoring_needs_one_exchange_and_tokenises_once(spark):
-    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit(1).alias("label"))
-    text = plan(op.extract_phrases(oc.distinct_texts(corpus)))
-    assert text.count("Exchange hashpartitioning") == 1
-    assert text.count("regexp_extract_all(lower(") == 1
-    assert "WindowGroupLimit" in text
-    assert "ReadSchema: struct<text:string>" in text
-    diverse = plan(mmr.diverse_phrases(oc.distinct_texts(corpus, None)))
-    assert diverse.count("Exchange hashpartitioning") == 1
+def test_extraction_needs_no_exchange_and_tokenises_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit(1).alias("label"))
+    for chosen in (op.extract_phrases(docs), mmr.diverse_phrases(docs), oc.score_texts(docs, EXTRACT, [])):
+        text = plan(chosen)
+        assert "Exchange" not in text and "Sort" not in text and text.count("regexp_extract_all(lower(") == 1
+        assert "ReadSchema: struct<text:string>" in text
+    counts = plan(op.phrase_counts(docs))
+    assert counts.count("Exchange") == 1 and "Exchange hashpartitioning(phrase" in counts
