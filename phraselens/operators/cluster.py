@@ -17,8 +17,9 @@ from phraselens.config import ELBOW_ITERATIONS, ELBOW_K, KMEANS_ITERATIONS, KMEA
 from phraselens.functions import ratio as fr
 from phraselens.functions.vectors import array_to_vector, vector_to_array
 from phraselens.operators.sampling import fixed_sample
+from phraselens.operators.similarity import top_k_neighbours
 
-MAX_CENTROIDS = 10_000
+MODEL_BYTES = 32 << 20
 SAMPLES_SHOWN = 3
 
 
@@ -81,15 +82,20 @@ def assign_with_model(vectors: DataFrame, model: KMeansModel) -> DataFrame:
     return model.transform(with_unit_features(vectors)).drop("features")
 
 
-def assign_centroids(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+def assign_centroids(vectors: DataFrame, centroids: DataFrame, id_col: str = "phrase_id", model_bytes: int = MODEL_BYTES) -> DataFrame:
     """Nearest centroid by Euclidean distance, the lower cluster number on a tie.
 
-    The centroid table is a model, not data; its size is checked before tasks get it.
+    A table of centroids up to model_bytes goes to every task. A larger one is searched like any index: the nearest
+    centroid c of x is that with the largest x.c - c.c/2, an inner product after one more entry.
     """
-    rows = centroids.limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    rows.sort(key=lambda r: r["cluster"])
+    facts = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("dim")).first()
+    if facts["n"] * (facts["dim"] or 0) * 8 > model_bytes:
+        half = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x) / -2
+        index = centroids.select(F.col("cluster").alias("phrase_id"), F.concat("centroid", F.array(half)).alias("embedding"))
+        asked = vectors.select(F.col(id_col).alias("q_id"), F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(1.0))).alias("embedding"))
+        found = top_k_neighbours(asked, index, 1, local_bytes=model_bytes)
+        return vectors.join(found.select(F.col("q_id").alias(id_col), F.col("phrase_id").alias("cluster")), id_col, "left").select(*vectors.columns, "cluster")
+    rows = sorted(centroids.collect(), key=lambda r: r["cluster"])
     numbers = np.array([r["cluster"] for r in rows], dtype=np.int32)
     matrix = np.array([r["centroid"] for r in rows], dtype=np.float64)
     half_sq = (matrix ** 2).sum(axis=1) / 2

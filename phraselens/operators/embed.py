@@ -85,31 +85,54 @@ def encode_with_retry(encode: Callable[[list[str]], np.ndarray], texts: list[str
         return np.concatenate([encode_with_retry(encode, texts[:half]), encode_with_retry(encode, texts[half:])])
 
 
+def encode_or_report(encode: Callable[[list[str]], np.ndarray], texts: list[str]) -> tuple[list, list]:
+    """Vectors and errors, one of each per text: a failing batch is halved down to the texts that fail, which have an error."""
+    try:
+        return list(np.asarray(encode(texts), dtype=np.float32)), [None] * len(texts)
+    except Exception as error:
+        if len(texts) <= 1:
+            return [None] * len(texts), [f"{type(error).__name__}: {error}"] * len(texts)
+        half = len(texts) // 2
+        left, right = encode_or_report(encode, texts[:half]), encode_or_report(encode, texts[half:])
+        return left[0] + right[0], left[1] + right[1]
+
+
 class FunctionEmbedder:
     """Any Python encoder: `load()` runs once per task and returns list-of-texts -> matrix.
 
-    Vectors are L2-normalised. Rows stream through in Arrow batches.
+    Vectors are L2-normalised. Rows stream through in Arrow batches. With keep_errors a text that the encoder fails on has
+    no embedding but its error in the column `error` (see failed_rows); without, it fails the job.
     """
 
-    def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 64):
-        self.load, self.batch_size = load, batch_size
+    def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 64, keep_errors: bool = False):
+        self.load, self.batch_size, self.keep_errors = load, batch_size, keep_errors
 
     def fingerprint(self) -> str:
         """The loader's pickled code and what it closes over."""
         return hashlib.md5(cloudpickle.dumps(self.load)).hexdigest()
 
     def embed(self, df: DataFrame, text_col: str) -> DataFrame:
-        load, size = self.load, self.batch_size
-        schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+        load, size, keep = self.load, self.batch_size, self.keep_errors
+        added = [T.StructField("embedding", T.ArrayType(T.FloatType()))] + [T.StructField("error", T.StringType())] * keep
+        schema = T.StructType([*df.schema.fields, *added])
+
+        def unit(vector):
+            length = np.linalg.norm(vector)
+            return vector / length if length > 0 else np.zeros_like(vector)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             encode = load()
             for pdf in batches:
                 for start in range(0, len(pdf), size):
                     part = pdf.iloc[start:start + size]
-                    matrix = encode_with_retry(encode, part[text_col].fillna("").tolist())
-                    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-                    matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-                    yield part.assign(embedding=list(matrix))
+                    texts = part[text_col].fillna("").tolist()
+                    vectors, errors = encode_or_report(encode, texts) if keep else (list(encode_with_retry(encode, texts)), None)
+                    part = part.assign(embedding=[None if v is None else unit(v) for v in vectors])
+                    yield part.assign(error=errors) if keep else part
 
         return df.mapInPandas(run, schema)
+
+
+def failed_rows(rows: DataFrame, id_col: str, stage: str) -> DataFrame:
+    """(id, stage, error) of the rows that a stage which keeps errors failed on."""
+    return rows.where(F.col("error").isNotNull()).select(F.col(id_col).alias("id"), F.lit(stage).alias("stage"), "error")

@@ -2,58 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from phraselens.config import SEED, TRAIN_PAIR_CAP, VALIDATION_PAIR_CAP
+from phraselens.config import SEED
 from phraselens.functions.vectors import cosine
-from phraselens.operators.skew import class_counts, first_by_hash, order_hash
-
-
-def _listed(corpus: DataFrame, cap: int, counts: dict, seed: int, id_col: str) -> DataFrame:
-    """The first cap+1 texts of each class in hash order, numbered from 0.
-
-    All pairs come from these, so the window below sees at most 2 * (cap + 1) rows.
-    """
-    takes = {1: cap + 1, 0: cap + 1}
-    kept = corpus.where(first_by_hash(corpus, id_col, seed, takes, "label", counts))
-    order = W.partitionBy("label").orderBy("h", id_col)
-    return (kept.select(id_col, "text", "label", order_hash(id_col, seed).alias("h"))
-            .select("label", "text", (F.row_number().over(order) - 1).alias("i"),
-                    F.lead("text").over(order).alias("next_text"), F.lead(id_col).over(order).alias("next_id")))
-
-
-def _pairs(corpus: DataFrame, cap: int, counts: dict, seed: int, id_col: str) -> DataFrame:
-    listed = _listed(corpus, cap, counts, seed, id_col)
-    same = (listed.where((F.col("i") < cap) & F.col("next_id").isNotNull())
-            .select(F.col("text").alias("text_a"), F.col("next_text").alias("text_b"), F.lit(1.0).alias("score"),
-                    F.when(F.col("label") == 1, "same_positive").otherwise("same_negative").alias("kind")))
-    n_neg = counts.get(0, 0)
-    if not n_neg:
-        return same
-    positives = (listed.where((F.col("label") == 1) & (F.col("i") < cap))
-                 .select(F.col("text").alias("text_a"), (F.col("i") % n_neg).alias("i")))
-    negatives = listed.where(F.col("label") == 0).select(F.col("text").alias("text_b"), "i")
-    cross = positives.join(negatives, "i").select(
-        "text_a", "text_b", F.lit(0.0).alias("score"), F.lit("cross").alias("kind"))
-    return same.unionByName(cross)
+from phraselens.operators.order import counted_before, first_by_hash, numbered, order_hash
+from phraselens.operators.skew import broadcast_if_small, join_unique
+from phraselens.session import written
 
 
 def _binary(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("text").isNotNull() & F.col("label").isin(0, 1))
 
 
-def training_pairs(corpus: DataFrame, cap: int = TRAIN_PAIR_CAP, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+def _counts(corpus: DataFrame) -> tuple[int, int]:
+    """Positive and negative rows."""
+    found = {r["label"]: r["count"] for r in corpus.groupBy("label").count().collect()}
+    return found.get(1, 0), found.get(0, 0)
+
+
+def _pairs(corpus: DataFrame, cap: int | None, n_neg: int, seed: int, id_col: str) -> DataFrame:
+    """Pairs by ids first; the texts are looked up for the ids that were chosen, last."""
+    ids = corpus.select("label", F.col(id_col).alias("id"))
+    if cap is not None:
+        takes = corpus.sparkSession.createDataFrame([(0, cap + 1), (1, cap + 1)], "g int, take long")
+        sizes = ids.groupBy(F.col("label").cast("int").alias("g")).count()
+        takes = takes.join(sizes, "g").select("g", F.least("take", "count").alias("take"))
+        ids = first_by_hash(ids.withColumn("label", F.col("label").cast("int")), "id", seed, takes, "label").where("first")
+    listed = written(numbered(ids.select(F.col("label").alias("g"), order_hash("id", seed).alias("h"), "id")), "pair-rows")
+    first = listed if cap is None else listed.where(F.col("i") < cap)
+    after = listed.select("g", F.col("id").alias("id_b"), (F.col("i") - 1).alias("i"))
+    same = first.join(after, ["g", "i"]).select(
+        F.col("id").alias("id_a"), "id_b", F.lit(1.0).alias("score"), F.when(F.col("g") == 1, "same_positive").otherwise("same_negative").alias("kind"))
+    pairs = same
+    if n_neg:
+        positives = first.where(F.col("g") == 1).select(F.col("id").alias("id_a"), (F.col("i") % n_neg).alias("i"))
+        negatives = listed.where(F.col("g") == 0).select(F.col("id").alias("id_b"), "i")
+        # A negative is used n_pos / n_neg times: often only if there are few of them.
+        cross = positives.join(broadcast_if_small(negatives), "i")
+        pairs = same.unionByName(cross.select("id_a", "id_b", F.lit(0.0).alias("score"), F.lit("cross").alias("kind")))
+    texts = corpus.select(F.col(id_col).alias("id_a"), F.col("text").alias("text_a"))
+    left = written(written(pairs, "pairs").join(texts, "id_a"), "pairs-left")
+    both = join_unique(left, texts.withColumnsRenamed({"id_a": "id_b", "text_a": "text_b"}), "id_b", "inner")
+    return both.select("text_a", "text_b", "score", "kind")
+
+
+def training_pairs(corpus: DataFrame, cap: int | None = None, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
     """Neighbours within a class (score 1) and across classes (score 0), as many per kind as the
-    smaller class allows, at most `cap`."""
+    smaller class allows, at most `cap` if it is given."""
     corpus = _binary(corpus)
-    counts = class_counts(corpus, "label")
-    return _pairs(corpus, min(counts.get(1, 0), counts.get(0, 0), cap), counts, seed, id_col)
+    n_pos, n_neg = _counts(corpus)
+    return _pairs(corpus, min(n_pos, n_neg, *([] if cap is None else [cap])), n_neg, seed, id_col)
 
 
-def validation_pairs(corpus: DataFrame, cap: int = VALIDATION_PAIR_CAP, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """The same pairs with a flat cap per kind."""
+def validation_pairs(corpus: DataFrame, cap: int | None = None, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
+    """All such pairs, at most `cap` per kind if it is given."""
     corpus = _binary(corpus)
-    return _pairs(corpus, cap, class_counts(corpus, "label"), seed, id_col)
+    return _pairs(corpus, cap, _counts(corpus)[1], seed, id_col)
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -63,16 +68,30 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 def pair_correlation(pairs: DataFrame) -> DataFrame:
     """How well the cosine of vec_a and vec_b follows the pair score: Pearson and Spearman.
 
-    Ranks need one ordered window; the number of pairs is bounded by the pair caps.
+    Equal values share the mean of their ranks. Pairs are first counted per (score, cosine); ranks come from those
+    counts, so no window spans all pairs and a score that most pairs have is no hot key.
     """
-    scored = pairs.select("score", cosine(F.col("vec_a"), F.col("vec_b")).alias("cosine"))
-
-    def average_rank(column):
-        first = F.rank().over(W.orderBy(column))
-        ties = F.count(F.lit(1)).over(W.partitionBy(column))
-        return first + (ties - 1) / 2
-
-    ranked = scored.select("score", "cosine", average_rank("score").alias("rank_score"),
-                           average_rank("cosine").alias("rank_cosine"))
-    return ranked.agg(F.count(F.lit(1)).alias("pairs"), F.corr("score", "cosine").alias("pearson"),
-                      F.corr("rank_score", "rank_cosine").alias("spearman"))
+    # Cosines that differ by rounding alone are the same value.
+    scored = pairs.select(F.col("score").cast("double").alias("score"), (F.floor(cosine(F.col("vec_a"), F.col("vec_b")) * 1e9 + 0.5) / 1e9).alias("cosine"))
+    joint = written(scored.groupBy("score", "cosine").agg(F.count(F.lit(1)).alias("n")), "joint-counts")
+    total = joint.agg(F.sum("n")).first()[0] or 0
+
+    def centred_ranks(column: str) -> DataFrame:
+        values = joint.groupBy(column).agg(F.sum("n").alias("of_value"))
+        return counted_before(values, column, "of_value").select(
+            column, (F.col("before") + (F.col("of_value") + 1) / 2 - (total + 1) / 2).alias(f"rank_{column}"))
+    ranked = joint
+    for column in ("score", "cosine"):
+        ranked = ranked.join(broadcast_if_small(centred_ranks(column)), column)
+
+    def correlation(x, y, mean_x, mean_y):
+        def moment(a, b):
+            return F.sum(F.col("n") * a * b)
+        dx, dy = F.col(x) - mean_x, F.col(y) - mean_y
+        spread = F.sqrt(moment(dx, dx)) * F.sqrt(moment(dy, dy))
+        return F.when(spread > 0, moment(dx, dy) / spread)
+    means = joint.agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in ("score", "cosine")]).first()
+    zero = F.lit(0.0)
+    return ranked.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), correlation("score", "cosine", F.lit(means["score"]), F.lit(means["cosine"])).alias("pearson"),
+        correlation("rank_score", "rank_cosine", zero, zero).alias("spearman"))

@@ -10,6 +10,7 @@ from phraselens.config import EXTRACT, MIN_PHRASE_FREQUENCY, ExtractProfile
 from phraselens.functions import ratio as fr
 from phraselens.functions.words import BOOST_WORDS, custom_stop_words
 from phraselens.operators.candidates import Grams, choose_phrases, shortened
+from phraselens.operators.progress import Progress
 
 CHOSEN = "rank int, phrase string, score double"
 
@@ -29,9 +30,10 @@ def extract_phrases(texts: DataFrame, profile: ExtractProfile = EXTRACT, stop_wo
     return choose_phrases(texts, profile, custom_stop_words() if stop_words is None else stop_words, choose, CHOSEN, carry)
 
 
-def phrase_counts(corpus: DataFrame, profile: ExtractProfile = EXTRACT, stop_words=None) -> DataFrame:
+def phrase_counts(corpus: DataFrame, profile: ExtractProfile = EXTRACT, stop_words=None, progress: Progress | None = None) -> DataFrame:
     """Per phrase: texts it was chosen for, positive ones and the others. The only exchange is that of phrase counts."""
-    chosen = extract_phrases(corpus, profile, stop_words, carry=("label",))
+    chosen = extract_phrases(progress.texts(corpus) if progress else corpus, profile, stop_words, carry=("label",))
+    chosen = progress.phrases(chosen) if progress else chosen
     positive = F.count_if(F.col("label") == 1)
     return chosen.groupBy("phrase").agg(
         F.count(F.lit(1)).alias("total_frequency"), positive.alias("hate_count"), (F.count(F.lit(1)) - positive).alias("non_hate_count"))

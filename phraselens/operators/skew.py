@@ -1,99 +1,39 @@
-"""Joins and cuts that stay even when one key holds a large share of the rows."""
+"""Joins that stay even when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from phraselens.session import written
 
 BROADCAST_ROWS = 10_000
 HOT_KEYS = 10_000
-CUT_ROWS = 100_000
-MAX_CLASSES = 1_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; a larger table is returned unhinted.
 
-    The table is persisted, so counting it and joining it cost one computation.
+    For written tables, and others that cost little to compute twice.
     """
-    df = df.persist()
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def join_unique(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left",
                 hot_keys: int = HOT_KEYS) -> DataFrame:
-    """Join many rows to a table with few rows per key, whatever share of `rows` one key holds.
+    """Join many rows to a written table with few rows per key, whatever share of `rows` one key holds.
 
     A key is hot when it holds more than 1/hot_keys of the rows, so there are at most `hot_keys`
     of them: their lookup rows are broadcast and their rows never move. All other keys are shuffled,
-    and none of their groups can be large.
+    and none of their groups can be large. With no more rows than hot_keys no key can be large.
     """
     total = rows.count()
-    hot = (rows.groupBy(key).count().where(F.col("count") > total / hot_keys)
-           .select(key, F.lit(True).alias("_hot")).persist())
+    if total <= hot_keys:
+        return rows.join(lookup, key, how)
+    counts = rows.groupBy(key).count().where(F.col("count") > total / hot_keys)
+    hot = written(counts.select(key, F.lit(True).alias("_hot")), "hot-keys")
     flagged = rows.join(F.broadcast(hot), key, "left")
     hot_rows = flagged.where(F.col("_hot")).drop("_hot")
     cold_rows = flagged.where(F.col("_hot").isNull()).drop("_hot")
     hot_lookup = lookup.join(F.broadcast(hot.select(key)), key, "left_semi")
     return (hot_rows.join(F.broadcast(hot_lookup), key, how)
             .unionByName(cold_rows.join(lookup, key, how)))
-
-
-def order_hash(id_col: str, seed: int) -> Column:
-    """Seeded pseudo-random order of rows that does not depend on their partitioning."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
-
-
-def class_counts(df: DataFrame, group: str) -> dict:
-    """Rows per class. Classes are the label values of a classifier, so their number is checked."""
-    found = df.groupBy(group).count().limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} values in {group!r}: not a class column")
-    return {r[group]: r["count"] for r in found}
-
-
-def _cutoff(df: DataFrame, take: int, size: int, cut_rows: int):
-    """(hash, id) of the `take`-th row in hash order.
-
-    While the rows in question are too many to sort at one place, count them per hash prefix
-    (at most 4096 counts) and go on inside the prefix that holds the wanted row.
-    """
-    prefix = ""
-    while size > cut_rows and len(prefix) < 30:
-        width = len(prefix) + 3
-        histogram = sorted(
-            df.where(F.col("h").startswith(prefix)).groupBy(F.substring("h", 1, width).alias("p")).count().collect())
-        for p, n in histogram:
-            if take <= n:
-                prefix, size = p, n
-                break
-            take -= n
-    row = (df.where(F.col("h").startswith(prefix)).orderBy("h", "id").limit(take)
-           .agg(F.max(F.struct("h", "id")).alias("last")).first())
-    return row["last"]["h"], row["last"]["id"]
-
-
-def first_by_hash(df: DataFrame, id_col: str, seed: int, takes: dict, group: str | None = None,
-                  sizes: dict | None = None, cut_rows: int = CUT_ROWS) -> Column:
-    """Predicate that holds for exactly the first takes[g] rows of every group g in hash order.
-
-    The cut point of each group is found from counts, so selecting the rows is a plain filter:
-    nothing is shuffled and no group is gathered at one place. Ids must be unique within a group.
-    """
-    sizes = sizes or (class_counts(df, group) if group else {None: df.count()})
-    keyed = df.select(order_hash(id_col, seed).alias("h"), F.col(id_col).alias("id"),
-                      *([F.col(group).alias("g")] if group else []))
-    h, row_id = order_hash(id_col, seed), F.col(id_col)
-    chosen = F.lit(False)
-    for value, size in sizes.items():
-        member = F.col(group).eqNullSafe(F.lit(value)) if group else F.lit(True)
-        take = min(takes.get(value, 0), size)
-        if take == size:
-            inside = F.lit(True)
-        elif take <= 0:
-            continue
-        else:
-            of_group = keyed.where(F.col("g").eqNullSafe(F.lit(value))) if group else keyed
-            last_h, last_id = _cutoff(of_group, take, size, cut_rows)
-            inside = (h < last_h) | ((h == last_h) & (row_id <= F.lit(last_id)))
-        chosen = chosen | (member & inside)
-    return chosen

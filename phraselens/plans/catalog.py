@@ -17,6 +17,7 @@ from phraselens.functions.vectors import bind, l2_normalise, rounded
 from phraselens.operators import (
     candidates as oc, checks, classify, cluster, embed, mmr, pairs, phrases as op, sampling, similarity, skew,
 )
+from phraselens.operators.progress import Progress
 from phraselens.plans import inference, training
 from phraselens.schemas import DOCUMENTS
 from phraselens.session import run_dir, tune, written
@@ -25,6 +26,7 @@ from phraselens.streaming import counts as stream_counts, verdicts as stream_ver
 
 SEEDS = 10
 BALLS = 8
+LONG_TEXT = 5_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -138,6 +140,13 @@ def phrase_frequency(spark, folder):
     return op.phrase_counts(corpus(spark, folder))
 
 
+def extraction_progress(spark, folder):
+    """Counters of the extraction behind the phrase counts, observed while it runs."""
+    progress = Progress()
+    written(op.phrase_counts(corpus(spark, folder), progress=progress), "counts")
+    return spark.createDataFrame([progress.counters()], "texts long, missing_texts long, texts_without_phrases long, phrases long")
+
+
 def phrase_report(spark, folder):
     return op.sorted_report(op.phrase_report(op.phrase_counts(corpus(spark, folder))))
 
@@ -249,6 +258,26 @@ def hashed_embedding(spark, folder):
         hex_key(), "i", "value")
 
 
+def load_short_text_encoder():
+    """An encoder that refuses long texts, as encoders with a limited window do."""
+    import numpy as np
+
+    def encode(texts):
+        for t in texts:
+            if len(t) > LONG_TEXT:
+                raise ValueError(f"text of {len(t)} characters")
+        return np.array([[len(t), 1.0] for t in texts], dtype=np.float32)
+
+    return encode
+
+
+def embedding_errors(spark, folder):
+    """The documents that an encoder fails on, with the error; all others are embedded in the same pass."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = written(embed.FunctionEmbedder(load_short_text_encoder, keep_errors=True).embed(docs, "text"), "embedded")
+    return embed.failed_rows(out, "doc_id", "embedding").withColumn("embedded", F.lit(out.where("embedding is not null").count()))
+
+
 def model_embedding(spark, folder):
     """A Spark ML pipeline as embedder."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -381,6 +410,14 @@ def corpus_summary(spark, folder):
     return checks.corpus_summary(lexical_phrases(spark, folder))
 
 
+def distinct_estimate(spark, folder):
+    """Different phrases by sketches, one per label and then united, beside the exact number."""
+    chosen = written(op.extract_phrases(corpus(spark, folder, "quality"), carry=("label",)).select("label", "phrase"), "chosen")
+    estimate = checks.united_estimate(checks.distinct_sketch(chosen, "phrase", "label")).first()["estimate"]
+    exact = chosen.agg(F.count_distinct("phrase").alias("distinct_phrases"))
+    return exact.withColumn("estimate_within_5_percent", F.abs(F.lit(estimate) - F.col("distinct_phrases")) <= 0.05 * F.col("distinct_phrases"))
+
+
 # --- verdicts --------------------------------------------------------------------------------------
 
 def lexical_phrases(spark, folder) -> DataFrame:
@@ -503,6 +540,16 @@ def stream_phrase_counts(spark, folder):
     return stream_counts.total_counts(spark, f"{root}/out")
 
 
+def stream_progress(spark, folder):
+    """The counters of all micro-batches of a streamed count."""
+    root = run_dir(spark, "counts")
+    labels = table(spark, folder, "labels")
+    stream_counts.count_phrases(document_stream(spark, folder), f"{root}/out", f"{root}/state",
+                                prepare=lambda batch: sc.labelled_corpus(batch, labels, "toxic")).awaitTermination()
+    return stream_counts.batch_progress(spark, f"{root}/out").agg(
+        *[F.sum(c).alias(c) for c in ("texts", "missing_texts", "texts_without_phrases", "phrases")])
+
+
 def stream_classify(spark, folder):
     root = run_dir(spark, "verdicts")
     query = stream_verdicts.explain_stream(
@@ -514,11 +561,11 @@ def stream_classify(spark, folder):
 QUERIES = {f.__name__: f for f in (
     corpus_normalised, label_rejects, label_codes, csv_round_trip, snapshot_round_trip, ngram_band, stop_word_usage,
     relevant_phrases, candidate_ngrams, phrase_scores, top_candidates, boosted_phrases, phrase_frequency,
-    phrase_report, phrase_report_quality, band_counts, stop_phrase_filter, mmr_phrases, distinct_text_reuse,
+    extraction_progress, phrase_report, phrase_report_quality, band_counts, stop_phrase_filter, mmr_phrases, distinct_text_reuse,
     stratified_split, split_counts, fixed_sample, same_class_pairs, cross_class_pairs, validation_pairs, pair_counts,
-    pair_correlation, normalise_vectors, hashed_embedding, model_embedding, function_embedding, consistency_check,
+    pair_correlation, normalise_vectors, hashed_embedding, model_embedding, function_embedding, embedding_errors, consistency_check,
     topk_neighbours, other_neighbours, listed_neighbours, cluster_join, cluster_stats, cluster_samples, unlabelled_cluster_stats,
     percent_round_trip, last_cluster_wins, assign_centroid, lloyd_step, cluster_sizes, kmeans_fit, elbow_curve,
-    corpus_summary, neighbour_ratio, adaptive_threshold, dense_phrase_verdicts, dense_text_verdicts,
+    corpus_summary, distinct_estimate, neighbour_ratio, adaptive_threshold, dense_phrase_verdicts, dense_text_verdicts,
     unable_to_classify, classify_phrase, classify_text, explained_result, explained_conversations,
-    end_to_end_verdicts, stream_phrase_counts, stream_classify)}
+    end_to_end_verdicts, stream_phrase_counts, stream_progress, stream_classify)}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,9 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_scope: ContextVar[list | None] = ContextVar("tables of the scope", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once to the shared folder.
 
@@ -60,5 +65,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     recomputation, and Spark knows the size when it plans the joins.
     """
     path = run_dir(df.sparkSession, name)
+    if _scope.get() is not None:
+        _scope.get().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Tables `written` inside are deleted at the end; for work whose result is stored before the scope ends."""
+    before = _scope.set([])
+    try:
+        yield
+    finally:
+        for path in _scope.get():
+            delete(spark, path)
+        _scope.reset(before)
+
+
+def _located(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system Spark can write to; nothing if there is none."""
+    files, place = _located(spark, path)
+    files.delete(place, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    files, place = _located(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    files, place = _located(spark, f"{path}/_SUCCESS")
+    return files.exists(place)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from phraselens.operators.order import counted_before
 from phraselens.schemas import CSV_CORPUS
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
@@ -55,13 +56,9 @@ def _checked(documents: DataFrame, labels: DataFrame, label: str) -> tuple[DataF
 
 
 def label_codes(df: DataFrame, label: str = "label") -> DataFrame:
-    """Distinct labels with class codes 0, 1, ... in label order and their names.
-
-    The ordered window sees only the distinct labels.
-    """
+    """Distinct labels with class codes 0, 1, ... in label order and their names; there may be any number of labels."""
     distinct = df.select(F.col(label).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return distinct.select(
-        "label", (F.dense_rank().over(W.orderBy("label")) - 1).alias("code"), F.col("label").cast("string").alias("name"))
+    return counted_before(distinct, "label", F.lit(1)).select("label", F.col("before").cast("int").alias("code"), F.col("label").cast("string").alias("name"))
 
 
 def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from phraselens.config import INFER, Settings
 from phraselens.plans.inference import explain, prepared
+from phraselens.session import temporary_tables
 
 
 def explain_stream(stream: DataFrame, index: DataFrame, embedder, out: str, checkpoint: str,
@@ -15,7 +16,8 @@ def explain_stream(stream: DataFrame, index: DataFrame, embedder, out: str, chec
     index = prepared(index, settings)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        explain(batch, index, embedder, id_col, text_col, INFER, settings).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        with temporary_tables(batch.sparkSession):
+            explain(batch, index, embedder, id_col, text_col, INFER, settings).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

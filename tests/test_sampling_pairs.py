@@ -6,10 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
-from phraselens.operators import pairs, sampling, skew
+from phraselens.operators import order as ordering, pairs, sampling, skew
 
 
 def order(i, seed=42):
@@ -21,18 +20,21 @@ def corpus(spark, n_pos, n_neg):
     return spark.createDataFrame(rows, "doc_id long, text string, label int")
 
 
-@given(st.dictionaries(st.integers(0, 5), st.integers(1, 1000), min_size=1))
-def test_test_sizes(counts):
-    sizes = sampling.test_sizes(counts)
+@pytest.mark.parametrize("counts", [{0: 5}, {0: 1, 1: 1, 2: 1}, {0: 37, 1: 263}, {0: 999, 3: 7, 4: 7, 5: 2}, {i: 3 for i in range(11)}])
+def test_test_sizes(spark, counts):
+    table = spark.createDataFrame(list(counts.items()), "g int, n long")
+    sizes = {r["g"]: r["take"] for r in sampling.test_sizes(table).collect()}
     total = sum(counts.values())
-    assert sum(sizes.values()) == math.ceil(round(0.2 * total, 9))
-    assert all(abs(sizes[c] - 0.2 * n) <= 2 and 0 <= sizes[c] <= n for c, n in counts.items())
+    wanted = math.ceil(round(0.2 * total, 9))
+    shares = {c: divmod(n * wanted, total) for c, n in counts.items()}
+    more = sorted(shares, key=lambda c: (-shares[c][1], c))[:wanted - sum(whole for whole, _ in shares.values())]
+    assert sizes == {c: whole + (c in more) for c, (whole, _) in shares.items()}
 
 
-@pytest.mark.parametrize("cut_rows", [1, 7, 100_000])
-def test_split_is_exact_whatever_the_cut(spark, cut_rows):
-    df = corpus(spark, 37, 263)
-    rows = sampling.stratified_split(df, cut_rows=cut_rows).collect()
+@pytest.mark.parametrize("prefix", [1, 4, 32])
+def test_split_is_exact_whatever_the_parts(spark, monkeypatch, prefix):
+    monkeypatch.setattr(ordering, "PREFIX", prefix)
+    rows = sampling.stratified_split(corpus(spark, 37, 263)).collect()
     assert len(rows) == 300
     assert Counter((r["label"], r["split"]) for r in rows)[(1, "test")] == 7
     for label in (0, 1):
@@ -41,15 +43,41 @@ def test_split_is_exact_whatever_the_cut(spark, cut_rows):
         assert test == set(ids[: len(test)])
 
 
+def jobs(spark, run):
+    """How many jobs `run` starts."""
+    group = f"count-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_many_classes_take_no_more_jobs(spark):
+    def split(classes):
+        df = spark.range(4004).select(F.col("id").alias("doc_id"), (F.col("id") % classes).alias("label"))
+        return jobs(spark, lambda: sampling.stratified_split(df).groupBy("split").count().collect())
+    few, many = split(2), split(1001)
+    assert dict(map(tuple, few[0])) == dict(map(tuple, many[0])) == {"test": 801, "train": 3203}
+    assert abs(few[1] - many[1]) <= 4       # a broadcast more or less
+
+
+def test_text_is_read_last(spark, tmp_path):
+    """The passes that look for cuts read no text."""
+    spark.createDataFrame([(i, f"text {i}", i % 2) for i in range(50)], "doc_id long, text string, label int").write.parquet(str(tmp_path / "c"))
+    split = sampling.stratified_split(spark.read.parquet(str(tmp_path / "c")).where("text is not null"))
+    assert split.select("doc_id", "split")._jdf.queryExecution().executedPlan().toString().count("ReadSchema: struct<doc_id:bigint,text") <= 1
+
+
 def test_single_class_split(spark):
     rows = sampling.stratified_split(corpus(spark, 10, 0)).collect()
     assert Counter(r["split"] for r in rows) == {"train": 8, "test": 2}
 
 
-@pytest.mark.parametrize("cut_rows", [3, 100_000])
-def test_fixed_sample(spark, cut_rows):
+def test_fixed_sample(spark):
     df = spark.range(1000).withColumnRenamed("id", "vec_id").repartition(7)
-    got = {r[0] for r in sampling.fixed_sample(df, "vec_id", cut_rows=cut_rows).collect()}
+    got = {r[0] for r in sampling.fixed_sample(df, "vec_id").collect()}
     assert got == set(sorted(range(1000), key=order)[:100])
     assert sampling.fixed_sample(df, "vec_id", cap=15).count() == 15
     assert sampling.fixed_sample(df.limit(9), "vec_id").count() == 0
@@ -70,6 +98,20 @@ def test_pairs(spark, n_pos, n_neg):
     pick = lambda d: sorted((r["text_a"], r["text_b"], r["score"]) for r in d.collect())
     assert pick(pairs.training_pairs(df, cap=4)) == brute_pairs(rows, min(n_pos, n_neg, 4))
     assert pick(pairs.validation_pairs(df, cap=6)) == brute_pairs(rows, 6)
+    assert pick(pairs.training_pairs(df)) == brute_pairs(rows, min(n_pos, n_neg))
+    assert pick(pairs.validation_pairs(df)) == brute_pairs(rows, 100)
+
+
+def test_numbers_and_ranks_of_many_rows(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), ordering.order_hash("id", 1).alias("h"), "id")
+    got = {r["id"]: (r["g"], r["i"]) for r in ordering.numbered(rows).collect()}
+    for g in range(3):
+        ids = sorted(range(g, 5000, 3), key=lambda i: order(i, 1))
+        assert [got[i] for i in ids] == [(g, n) for n in range(len(ids))]
+    values = spark.range(300).select((F.col("id") * 11 % 301).alias("v"), (F.col("id") % 5).alias("n"))
+    found = {r["v"]: r["before"] for r in ordering.counted_before(values, "v", "n").collect()}
+    plain = sorted((r["v"], r["n"]) for r in values.collect())
+    assert found == {v: sum(m for w, m in plain if w < v) for v, _ in plain}
 
 
 def test_pair_correlation(spark):
@@ -80,11 +122,9 @@ def test_pair_correlation(spark):
     assert row["pairs"] == 3
     assert row["pearson"] == pytest.approx(np.corrcoef(scores, cosines)[0, 1])
     assert row["spearman"] == pytest.approx(np.corrcoef([2.5, 1, 2.5], [3, 1, 2])[0, 1])
-
-
-def test_class_column_is_checked(spark):
-    with pytest.raises(ValueError):
-        skew.class_counts(spark.range(2000), "id")
+    flat = pairs.pair_correlation(df.withColumn("score", F.lit(1.0))).first()
+    assert (flat["pairs"], flat["pearson"], flat["spearman"]) == (3, None, None)
+    assert pairs.pair_correlation(df.limit(0)).first()["pairs"] == 0
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])

@@ -2,12 +2,15 @@
 
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phraselens.config import Settings
-from phraselens.operators import classify, embed
+from phraselens import session
+from phraselens.config import EXTRACT, Settings
+from phraselens.operators import candidates, checks, classify, embed
 from phraselens.operators.phrases import phrase_counts
+from phraselens.operators.progress import Progress
 from phraselens.plans import inference, training
 from phraselens.session import run_dir
 from phraselens.sources import corpus as sc, snapshots
@@ -125,6 +128,72 @@ def test_stream_counts_equal_batch_and_survive_a_replay(spark, tmp_path):
     assert sorted(map(tuple, stream_counts.total_counts(spark, out).collect())) == want
 
 
+def test_many_batches_leave_few_folders(spark, tmp_path):
+    """Twenty batches merged by threes: few folders, nothing kept in memory or on disk, the same totals after a replay."""
+    rows = spark.createDataFrame([(i, (GOOD + BAD)[i % 6], i % 2) for i in range(40)], "doc_id long, text string, label int")
+    src, out, before = str(tmp_path / "in"), str(tmp_path / "out"), set(session.folders(spark, session.shared_dir(spark)))
+    rows.repartition(20).write.parquet(src)
+    want = sorted(map(tuple, phrase_counts(rows).collect()))
+
+    def run(state):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        stream_counts.count_phrases(stream, out, str(tmp_path / state), merge=3).awaitTermination()
+        assert sorted(map(tuple, stream_counts.total_counts(spark, out, 3).collect())) == want
+    run("state")
+    batches = stream_counts.batch_progress(spark, out)
+    n = batches.count()
+    assert n >= 12 and batches.agg(F.sum("texts")).first()[0] == 40 and batches.agg(F.sum("phrases")).first()[0] == sum(r[1] for r in want)
+    parts = [p for name in session.folders(spark, out) if name.startswith("level-") for p in session.folders(spark, f"{out}/{name}")]
+    assert len(stream_counts.current_folders(spark, out, 3)) <= 6 and len(parts) <= 14 < n
+    run("lost-state")
+    assert set(session.folders(spark, session.shared_dir(spark))) == before
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_progress_counts_what_passes(spark):
+    corpus = spark.createDataFrame([(1, GOOD[0], 1), (2, "the of", 0), (3, None, 0), (4, GOOD[0], 0)], "doc_id long, text string, label int")
+    seen = Progress()
+    phrases = phrase_counts(corpus, progress=seen).collect()
+    assert seen.counters() == {"texts": 4, "missing_texts": 1, "texts_without_phrases": 2, "phrases": sum(r["total_frequency"] for r in phrases)}
+
+
+def test_one_poisoned_text_costs_one_row(spark):
+    texts = [*GOOD, "poison in this text", *BAD, "poison in this text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def choose(grams):
+        if "poison" in grams.vocabulary.to_pylist():
+            raise RuntimeError("poisoned")
+        rows, rank = grams.ranked(np.arange(len(grams.text)), grams.score, 1)
+        return grams.text[rows], {"phrase": grams.phrases(rows)}
+    out = candidates.choose_phrases(docs, EXTRACT, [], choose, "phrase string", ("doc_id",), keep_errors=True)
+    assert sorted((r["id"], r["stage"], r["error"]) for r in embed.failed_rows(out, "doc_id", "extraction").collect()) == [
+        (i, "extraction", "RuntimeError: poisoned") for i in (3, 7)]
+    assert sorted(r["doc_id"] for r in out.where("phrase is not null").collect()) == [0, 1, 2, 4, 5, 6]
+    with pytest.raises(Exception, match="poisoned"):
+        candidates.choose_phrases(docs, EXTRACT, [], choose, "phrase string", ("doc_id",)).collect()
+
+    def load():
+        return lambda batch: np.array([[1 / ("poison" not in t)] for t in batch])
+    embedded = embed.FunctionEmbedder(load, keep_errors=True).embed(docs, "text")
+    assert [(r["id"], r["error"].split(":")[0]) for r in embed.failed_rows(embedded, "doc_id", "embedding").collect()] == [(3, "ZeroDivisionError"), (7, "ZeroDivisionError")]
+    assert embedded.where("embedding is not null").count() == 6
+
+
+def test_sketches_unite(spark):
+    """Sketches of two snapshots together see each value once; the error stays small."""
+    a, b = (spark.range(lo, hi).select(F.col("id").cast("string").alias("phrase")) for lo, hi in ((0, 60_000), (40_000, 100_000)))
+    both = checks.distinct_sketch(a, "phrase").unionAll(checks.distinct_sketch(b, "phrase"))
+    assert abs(checks.united_estimate(both).first()["estimate"] - 100_000) < 4_000
+
+
+def test_neighbour_counts_are_settings(spark, trained):
+    _, model = trained
+    docs = spark.createDataFrame([(1, BAD[0])], "doc_id long, text string")
+    row = inference.explain(docs, model.index, embed.HashedEmbedder(), settings=Settings(text_neighbours=2, phrase_neighbours=3)).first()
+    assert "2 nearest" in row["summary"] and row["phrases"][0]["classification_method"] == "KNN-based (3 neighbors)"
+
+
 def test_stream_verdicts_equal_batch(spark, trained, tmp_path):
     _, model = trained
     docs = small_corpus(spark).select("doc_id", "text")

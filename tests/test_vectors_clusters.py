@@ -148,6 +148,8 @@ def test_assign_and_update(spark):
     centroids = spark.createDataFrame([(7, [10.0, 1.0]), (2, [0.0, 0.5]), (9, [99.0, 99.0])], "cluster int, centroid array<double>")
     assigned = cluster.assign_centroids(points, centroids)
     assert [r["cluster"] for r in assigned.orderBy("phrase_id").collect()] == [2, 2, 7, 7, 2]
+    searched = cluster.assign_centroids(points, centroids, model_bytes=0)
+    assert {r["phrase_id"]: r["cluster"] for r in searched.collect()} == {r["phrase_id"]: r["cluster"] for r in assigned.collect()}
     new = {r["cluster"]: r["centroid"] for r in cluster.centroid_means(assigned, centroids).collect()}
     assert new[7] == [10.0, 1.0] and new[2] == pytest.approx([5 / 3, 0.5]) and new[9] == [99.0, 99.0]
 
