@@ -10,9 +10,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from phraselens.config import EMBEDDING_DIM
@@ -26,14 +27,11 @@ def phrase_id(phrase: Column) -> Column:
     return F.md5(phrase.cast("binary"))
 
 
-def bucket(term: Column, dim: int) -> Column:
-    """Dimension a word counts towards: the first 24 bits of its MD5, modulo the width."""
-    return F.conv(F.substring(F.md5(term.cast("binary")), 1, 6), 16, 10).cast("int") % dim
-
-
 class HashedEmbedder:
     """Word counts hashed to `dim` dimensions; needs no model and no pass over the data.
 
+    A word counts towards the first 24 bits of its MD5, modulo the width.
+
     Entries are whole numbers, so inner products and squared norms are exact and cosines are equal
     in every engine. It matches words, not meaning: use FunctionEmbedder for a trained encoder.
     """
@@ -47,15 +45,24 @@ class HashedEmbedder:
         return repr((type(self).__name__, self.dim, self.stop_words))
 
     def embed(self, df: DataFrame, text_col: str) -> DataFrame:
-        buckets = df.withColumn("_tokens", ft.tokens(F.col(text_col)))
-        kept = StopWordsRemover(inputCol="_tokens", outputCol="_kept", stopWords=self.stop_words,
-                                caseSensitive=True).transform(buckets)
-        hashed = kept.withColumn("_buckets", F.transform("_kept", lambda t: bucket(t, self.dim).cast("string")))
-        counter = CountVectorizerModel.from_vocabulary(
-            [str(i) for i in range(self.dim)], inputCol="_buckets", outputCol="_counts")
-        return (counter.transform(hashed)
-                .withColumn("embedding", vector_to_array("_counts", "float64"))
-                .drop("_tokens", "_kept", "_buckets", "_counts"))
+        dim, stop, names = self.dim, list(self.stop_words), df.columns
+        schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+        def count(batches):
+            words = pa.array(stop, pa.string())
+            for batch in batches:
+                tokens = pc.fill_null(batch["_tokens"], pa.scalar([], pa.list_(pa.string())))
+                coded = tokens.flatten().dictionary_encode()
+                # Each different word of a batch is hashed once; the last bucket takes what does not count.
+                buckets = np.array([int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % dim for w in coded.dictionary.to_pylist()] + [dim])
+                buckets[:-1][pc.is_in(coded.dictionary, value_set=words).to_numpy(zero_copy_only=False)] = dim
+                row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy())
+                cells = np.bincount(row * (dim + 1) + buckets[coded.indices.to_numpy()], minlength=len(tokens) * (dim + 1))
+                counts = cells.reshape(len(tokens), dim + 1)[:, :dim].astype(np.float64)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * dim), pa.array(counts.ravel()))
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], vectors], [*names, "embedding"])
+
+        return df.withColumn("_tokens", ft.tokens(F.col(text_col))).mapInArrow(count, schema)
 
 
 class ModelEmbedder:

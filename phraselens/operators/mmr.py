@@ -23,7 +23,8 @@ def greedy_picks(text: np.ndarray, score: np.ndarray, square: np.ndarray, words:
     starts = np.flatnonzero(np.diff(text, prepend=text[0] - 1))
     segment = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(text))))
     here, value, near, picks = np.arange(len(text)), score.copy(), np.zeros(len(score)), []
-    for _ in range(limit):
+    columns = np.ascontiguousarray(words.T)
+    for step in range(limit):
         best = np.maximum.reduceat(value, starts)
         first = np.minimum.reduceat(np.where(value == best[segment], here, len(text)), starts)
         first = first[np.isfinite(best)]
@@ -32,15 +33,20 @@ def greedy_picks(text: np.ndarray, score: np.ndarray, square: np.ndarray, words:
         picks.append(first)
         chosen = np.full(len(starts), first[0])
         chosen[segment[first]] = first
-        shared = np.zeros(len(text), np.int64)
-        theirs = words[chosen]
-        for i in range(words.shape[1]):
-            other = theirs[:, i][segment]
-            for j in range(words.shape[1]):
-                shared += (words[:, j] == other) & (other >= 0)
-        near = np.maximum(near, shared / np.sqrt((square * square[chosen][segment]).astype(np.float64)))
-        value = (1 - diversity) * score - diversity * near
-        value[np.concatenate(picks)] = -np.inf
+        shared = np.zeros(len(text), np.int8)
+        for theirs in columns[:, chosen]:
+            other = np.where(theirs < 0, -2, theirs)[segment]
+            for mine in columns:
+                shared += (mine == other).view(np.int8)
+        # Only rows that share a word come nearer to what is chosen.
+        touched = np.flatnonzero(shared)
+        now = shared[touched] / np.sqrt((square[touched] * square[chosen][segment[touched]]).astype(np.float64))
+        near[touched] = np.maximum(near[touched], now)
+        changed = touched if step else here
+        gone = value == -np.inf
+        value[changed] = (1 - diversity) * score[changed] - diversity * near[changed]
+        value[gone] = -np.inf
+        value[first] = -np.inf
     return np.sort(np.concatenate(picks))
 
 

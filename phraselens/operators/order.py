@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from phraselens.operators.skew import broadcast_if_small
 from phraselens.session import written
 
-PREFIX = 4                  # hexadecimal digits: rows of a group are counted in 65,536 parts
+PREFIX = 3                  # hexadecimal digits: rows of a group are counted in 4,096 parts
 PREFIX_ROWS = 200_000       # counts of parts that a join may broadcast, three numbers each
 
 
