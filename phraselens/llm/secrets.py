@@ -1,6 +1,6 @@
 """Secret scans in DataFrame operations only: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a run of at least WINDOW token characters. A window of WINDOW characters slides over it; S, the sum of
+A candidate is a run of at least WINDOW token characters, padding included. A window of WINDOW characters slides over it; S, the sum of
 c * log2(c) over the character counts c in the window, is kept up to date from the counts of the character that leaves
 and the one that enters, and the entropy is log2(WINDOW) - S / WINDOW. What counts as high depends on the class of the
 characters in the window: hexadecimal digits only, or any token characters. A window must hold a digit and a letter.
@@ -20,11 +20,12 @@ PATTERNS = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),      # maximal runs of the length that counts
 )
 WINDOW = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"       # a sign of equality only pads, so a name before it is another string
+PART = 256              # places found are kept in parts, so that adding one copies no long array
 HEX_BITS, TOKEN_BITS = 3.0, 3.7
 # Allowed: words only, numbers only, identifiers made of words, placeholders, UUIDs, long runs of one character.
 ALLOWED = (
-    r"^[A-Za-z]+$", r"^[0-9+/_=-]+$", r"^[A-Za-z]+([_/-][A-Za-z]+)*[0-9]{0,4}$", r"(?i)example|placeholder|changeme|lorem|your[_-]?(key|token)",
+    r"^[A-Za-z]+$", r"^[0-9+/_=-]+$", r"^[A-Za-z]++([_/-][A-Za-z]++)*+[0-9]{0,4}$", r"(?i)example|placeholder|changeme|lorem|your[_-]?(key|token)",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(.)\1{7}",
 )
 
@@ -37,12 +38,16 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     lengths = F.zip_with(pieces, whole, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    one = "array<struct<start:int,end:int>>"
 
     def step(state, x):
         start = state["at"] + x["p"]
-        return F.struct((start + x["m"]).alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end")))).alias("out"))
-    places = F.aggregate(F.slice(lengths, 1, F.size(whole)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+        place = F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end")))
+        full = F.size(state["part"]) >= PART
+        return F.struct((start + x["m"]).alias("at"), F.when(full, place).otherwise(F.concat(state["part"], place)).alias("part"),
+                        F.when(full, F.concat(state["out"], F.array(state["part"]))).otherwise(state["out"]).alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(one).alias("part"), F.array().cast(f"array<{one}>").alias("out"))
+    places = F.aggregate(F.slice(lengths, 1, F.size(whole)), begin, step, lambda state: F.concat(F.flatten(state["out"]), state["part"]))
     both = F.arrays_zip(places.alias("place"), F.transform(sized, F.length).alias("size"), whole.alias("match"))
     found = F.transform(both, lambda x: F.struct(x["place"]["start"].alias("start"), x["place"]["end"].alias("end"), x["size"].alias("size"), x["match"].alias("match")))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,size:int,match:string>>"))
@@ -61,8 +66,8 @@ def high_entropy(candidate: Column) -> Column:
     def kind(char, pattern):
         return F.when(char.rlike(pattern), 1).otherwise(0)
 
-    def step(state, i):
-        enters, full = F.substring(candidate, i, 1), i > WINDOW
+    def step(characters, state, i):
+        enters, full = F.get(characters, i - 1), i > WINDOW
         leaves = F.when(full, F.substring(state["w"], 1, 1)).otherwise("")
         n = count(state["w"], leaves)
         rest = F.when(full, F.substring(state["w"], 2, WINDOW)).otherwise(state["w"])
@@ -78,7 +83,10 @@ def high_entropy(candidate: Column) -> Column:
                         F.when(high & (state["hi"] == 0), i - WINDOW).otherwise(state["lo"]).alias("lo"), F.when(high, i).otherwise(state["hi"]).alias("hi"))
 
     start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("s"), *[F.lit(0).alias(x) for x in ("odd", "digits", "letters", "lo", "hi")])
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi")))
+    # Characters come from an array: to find one in a text takes longer the further behind it is. Its lambda binds it once.
+    run = F.transform(F.array(F.split(candidate, "")), lambda characters: F.aggregate(
+        F.sequence(F.lit(1), F.length(candidate)), start, lambda state, i: step(characters, state, i), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))))
+    return F.element_at(run, 1)
 
 
 def _at_least(least: int):
