@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from phraselens.llm.common import shared
 
-TABLE_PIECES = 150_000      # pieces remembered between slices; forgetting them costs time only
-SLICE = 200                 # texts cut and merged at a time
+TABLE_PIECES = 100_000      # pieces in each half of the memory between slices; forgetting them costs time only
+SLICE = 400                 # texts cut and merged at a time
 
 
 def byte_alphabet() -> list[str]:
@@ -56,19 +56,24 @@ class Vocabulary:
         self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
 
 
-def merge_all(pieces: list[bytes], byte_ids: list[int], merges: list, ranks: dict) -> list[list[int]]:
-    """The ids of each piece; ranks maps (left << 32 | right) to the index in merges."""
-    symbols, following, before, starts = [], [], [], []
-    for piece in pieces:
-        at = len(symbols)
-        starts.append(at)
-        symbols += [byte_ids[b] for b in piece]
-        following += [*range(at + 1, at + len(piece)), -1]
-        before += [-1, *range(at, at + len(piece) - 1)]
-    where: dict[int, list[int]] = {}
-    for i, j in enumerate(following):
-        if j >= 0 and (rank := ranks.get(symbols[i] << 32 | symbols[j])) is not None:
-            where.setdefault(rank, []).append(i)
+def merge_all(pieces: list[bytes], vocabulary) -> list[bytes]:
+    """The ids of each piece, as little-endian 32-bit numbers.
+
+    Positions of the pairs of single bytes are found for all pieces at once; from then on the index is updated merge by merge.
+    """
+    letters = np.frombuffer(b"".join(pieces), np.uint8)
+    ends = np.cumsum([len(p) for p in pieces])
+    symbols, ranks, merges = vocabulary.byte_ids[letters].tolist(), vocabulary.ranks, vocabulary.merges
+    following, before = np.arange(1, len(letters) + 1), np.arange(-1, len(letters) - 1)
+    following[ends - 1] = -1
+    before[np.append(0, ends[:-1])] = -1
+    first = vocabulary.byte_ranks[letters[:-1], letters[1:]]
+    first[ends[:-1] - 1] = -1                           # no pair across pieces
+    held = np.flatnonzero(first >= 0)
+    held = held[np.argsort(first[held], kind="stable")]
+    cuts = np.flatnonzero(np.diff(first[held], prepend=-1))
+    where = dict(zip(first[held[cuts]].tolist(), (p.tolist() for p in np.split(held, cuts[1:])))) if len(held) else {}
+    following, before = following.tolist(), before.tolist()
     active = list(where)
     heapq.heapify(active)
     while active:
@@ -82,41 +87,62 @@ def merge_all(pieces: list[bytes], byte_ids: list[int], merges: list, ranks: dic
             following[i] = after = following[j]
             if after >= 0:
                 before[after] = i
-            for a, b in ((before[i], i), (i, after)):
-                if a >= 0 and b >= 0 and (new := ranks.get(symbols[a] << 32 | symbols[b])) is not None:
-                    if new not in where:
-                        where[new] = []
+                if (new := ranks.get(joined << 32 | symbols[after])) is not None:
+                    if new in where:
+                        where[new].append(i)
+                    else:
+                        where[new] = [i]
                         heapq.heappush(active, new)
+            a = before[i]
+            if a >= 0 and (new := ranks.get(symbols[a] << 32 | joined)) is not None:
+                if new in where:
                     where[new].append(a)
-    out = []
-    for at in starts:
-        ids = []
-        while at >= 0:
-            ids.append(symbols[at])
-            at = following[at]
-        out.append(ids)
-    return out
+                else:
+                    where[new] = [a]
+                    heapq.heappush(active, new)
+    left_over = np.array(symbols, np.int64)
+    stays = left_over >= 0
+    ids, places = left_over[stays].astype("<u4").tobytes(), [0, *(np.cumsum(stays)[ends - 1] * 4).tolist()]
+    return [ids[a:b] for a, b in zip(places, places[1:])]
+
+
+class Memory(dict):
+    """Ids of pieces seen before. When the newer half is full it becomes the older one; what is asked for moves back."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """The pieces whose ids are not known; room is made first."""
+        if len(self) > TABLE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        new = pieces.difference(self)
+        back = new.intersection(self.older)
+        self.update((p, self.older[p]) for p in back)
+        return list(new - back)
 
 
 def _encoder(sent):
     def encode(batches):
         vocabulary = sent.value
-        ranks = {a << 32 | b: r for r, (a, b, _) in enumerate(vocabulary.merges)}
+        vocabulary.byte_ids = np.array(vocabulary.byte_ids)
+        vocabulary.ranks = {a << 32 | b: r for r, (a, b, _) in enumerate(vocabulary.merges)}
+        vocabulary.byte_ranks = np.array([[vocabulary.ranks.get(int(a) << 32 | int(b), -1) for b in vocabulary.byte_ids] for a in vocabulary.byte_ids])
         find = regex.compile(vocabulary.pattern).findall
         special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")"
                                 if vocabulary.special else "(?!)()")
         special_ids = {t: np.array([i], "<u4").tobytes() for t, i in vocabulary.special.items()}
-        table: dict[str, bytes] = {}
+        table = Memory()
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             cut = []
             for text in batch["text"].to_pylist():
                 parts = special.split(text or "") if any(t in (text or "") for t in special_ids) else [text or ""]
                 cut.append([find(part) if k % 2 == 0 else part for k, part in enumerate(parts)])
-            if len(table) > TABLE_PIECES:
-                table = {}
-            new = list({p for doc in cut for part in doc if isinstance(part, list) for p in part}.difference(table))
-            for piece, ids in zip(new, merge_all([p.encode() for p in new], vocabulary.byte_ids, vocabulary.merges, ranks)):
-                table[piece] = np.array(ids, "<u4").tobytes()
+            new = table.missing({p for doc in cut for part in doc if isinstance(part, list) for p in part})
+            if new:
+                table.update(zip(new, merge_all([p.encode() for p in new], vocabulary)))
             ids = [b"".join(special_ids[part] if isinstance(part, str) else b"".join(map(table.__getitem__, part))
                             for part in doc) for doc in cut]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
