@@ -38,7 +38,7 @@ def test_banded_distance(spark, threshold):
         assert r["d"] == true if true <= threshold else r["d"] > threshold
 
 
-@pytest.mark.parametrize("threshold, hot", [(1, 64), (1, 1), (2, 64)])
+@pytest.mark.parametrize("threshold, hot", [(1, 64), (1, 1), (2, 64), (2, 4), (3, 4)])
 def test_line_links_lose_nothing(spark, monkeypatch, threshold, hot):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(18, 80))) for _ in range(12)]
@@ -57,6 +57,30 @@ def test_line_links_lose_nothing(spark, monkeypatch, threshold, hot):
     assert {i: t for i, t in kept.items()} == H.without_repeats(dict(enumerate(lines)), threshold)
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_alignments_decide_short_rests(threshold):
+    """Rests of at most `threshold` characters and longer ones are within the threshold exactly if some listed places agree."""
+    rng = random.Random(threshold)
+    for _ in range(400):
+        a = "".join(rng.choice("ab") for _ in range(rng.randrange(1, threshold + 1)))
+        b = "".join(rng.choice("abc") for _ in range(len(a) + rng.randrange(0, threshold + 1)))
+        if len(b) > threshold:
+            listed = any([a[i] for i in x] == [b[i] for i in y] for x, y in line_dedup._alignments(threshold, len(a), len(b)))
+            assert listed == (H.edit_distance(a, b) <= threshold)
+
+
+def test_crowded_lines_make_links_in_proportion(spark):
+    """Counter lines are all within three edits of each other; twice as many lines make about twice as many links."""
+    def links(n):
+        lines = [(i, f"the entry number {i:03d} of a list that is rather long and goes on") for i in range(n)]
+        frame = spark.createDataFrame([(i, t, t) for i, t in lines], "doc_id long, text string, line string")
+        kept = texts_of(line_dedup.dedup_lines(frame))
+        assert kept[0] == lines[0][1] and not any(t for i, t in kept.items() if i)
+        return line_dedup.find_repeats(frame).agg(F.sum("n_links")).first()[0]
+    few, many = links(150), links(300)
+    assert many < 2.6 * few < 300 * 60
+
+
 def test_line_dedup_allows_edits_by_length(spark):
     """Two typos in a line of 40 characters and three in one of 200 are linked, three in 40 and two in 24 are not."""
     rng = random.Random(3)
