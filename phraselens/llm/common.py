@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from phraselens.session import tune, written
 
@@ -66,6 +66,12 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
+def drawn(id_col: str, share: float, seed: int) -> Column:
+    """Whether a row is in a sample of about that share, by a hash of its id; the threshold has 62 bits, so that a share of a
+    few rows in many billions still draws some."""
+    return F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 62)) < F.lit(int(min(1.0, max(share, 0.0)) * (1 << 62)))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): the smallest id reachable over the undirected edges (a, b); ids without an edge are absent.
 

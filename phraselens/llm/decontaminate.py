@@ -13,13 +13,12 @@ shares of the word trigrams of its question and of its answer, or nearly all tri
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from phraselens.llm.common import MARKS, Coder, shared, words
+from phraselens.session import written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -28,6 +27,7 @@ WHOLE_MISSING = 0.25            # share of all the item's trigrams
 SHORT_ANSWER = 5                # words
 MIN_WORDS = 8                   # shorter items are too common to prove a leak and are left out
 BLOCK = 16
+CELLS = 1 << 20                 # passages and items scored at a time
 INDEX_BYTES = 64 << 20          # one broadcast index as built
 WORD_BYTES, TERM_BYTES = 64, 160    # at most: of each word its code, posting and entry; of each term its place in the dictionary
 
@@ -91,6 +91,12 @@ def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
+def _different(keys: np.ndarray) -> np.ndarray:
+    """The different keys in ascending order."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def leaked(passage: list[int], question: list[int], answer: list[int], question_share: float, answer_share: float) -> bool:
     """Whether the passage holds the shares of both parts, or all of the item but WHOLE_MISSING of its trigrams or one word.
 
@@ -107,6 +113,27 @@ def leaked(passage: list[int], question: list[int], answer: list[int], question_
     return wanted - found <= max(3, WHOLE_MISSING * wanted)
 
 
+def _above(index, begins: np.ndarray, edges: np.ndarray, follows: np.ndarray, term: np.ndarray, threshold: float) -> tuple[list, list, list]:
+    """(first step, item, score) of all passages and items above the threshold; a passage is a step and the one that follows it.
+
+    All passages together: their different terms, then the bounds of their blocks, then the postings of the blocks that are left.
+    """
+    n_terms, n_blocks, n_items = len(index.term_max), -(-len(index.ids) // BLOCK), len(index.ids)
+    low, high = edges[begins], edges[begins + 1 + follows[begins]]
+    held = _different(np.repeat(np.arange(len(begins)) * n_terms, high - low) + term[_ranges(low, high)])
+    passage, mine = held // n_terms, held % n_terms
+    entries = _ranges(index.edges[mine], index.edges[mine + 1])
+    passage = np.repeat(passage, index.edges[mine + 1] - index.edges[mine])
+    cell = passage * n_blocks + index.block[entries]
+    live = np.bincount(cell, index.top[entries], len(begins) * n_blocks) >= threshold
+    entries, passage = entries[live[cell]], passage[live[cell]]
+    postings = _ranges(index.starts[entries], index.starts[entries + 1])
+    passage = np.repeat(passage, index.starts[entries + 1] - index.starts[entries])
+    scores = np.bincount(passage * n_items + index.items[postings], index.impacts[postings], 0)
+    above = np.flatnonzero(scores >= threshold)
+    return begins[above // n_items].tolist(), (above % n_items).tolist(), scores[above].tolist()
+
+
 def _finder(sent, step: int, threshold: float, question_share: float, answer_share: float):
     schema = pa.schema([("doc_id", pa.int64()), ("same", pa.int64()), ("n_passages", pa.int64()), ("n_retrieved", pa.int64()),
                         ("score", pa.float64()), ("items", pa.list_(pa.int64()))])
@@ -129,7 +156,7 @@ def _finder(sent, step: int, threshold: float, question_share: float, answer_sha
             if n_steps and n_terms:
                 at = np.concatenate([f + np.arange(len(c)) // step for f, c in zip(first, codes)])
                 term = term_of[np.concatenate(codes)]
-                held = np.unique(at[term >= 0] * n_terms + term[term >= 0])
+                held = _different(at[term >= 0] * n_terms + term[term >= 0])
                 at, term = held // n_terms, held % n_terms
                 bound = np.bincount(at, index.term_max[term], n_steps)
                 text_of = np.repeat(np.arange(len(codes)), steps)
@@ -137,21 +164,13 @@ def _finder(sent, step: int, threshold: float, question_share: float, answer_sha
                 begins = np.flatnonzero(follows | (np.repeat(steps, steps) == 1))
                 pair = bound[begins] + np.where(follows[begins], np.append(bound, 0.0)[begins + 1], 0.0)
                 edges = np.searchsorted(at, np.arange(n_steps + 1))
-                for b in begins[pair >= threshold].tolist():
-                    mine = np.unique(term[edges[b]:edges[b + 1 + follows[b]]])
-                    entries = _ranges(index.edges[mine], index.edges[mine + 1])
-                    live = np.bincount(index.block[entries], index.top[entries], -(-len(index.ids) // BLOCK)) >= threshold
-                    if not live.any():
-                        continue
-                    entries = entries[live[index.block[entries]]]
-                    postings = _ranges(index.starts[entries], index.starts[entries + 1])
-                    scores = np.bincount(index.items[postings], index.impacts[postings])
-                    above = np.flatnonzero(scores >= threshold)
-                    text = text_of[b]
-                    place = (b - first[text]) * step
-                    passage = None
-                    for n, score in zip(above.tolist(), scores[above].tolist()):
-                        passage = passage or term_of[codes[text][place:place + 2 * step]].tolist()
+                hopeful = begins[pair >= threshold]
+                size = max(1, CELLS // max(len(index.ids), 1))
+                for part in (hopeful[i:i + size] for i in range(0, len(hopeful), size)):
+                    for b, n, score in zip(*_above(index, part, edges, follows, term, threshold)):
+                        text = text_of[b]
+                        place = (b - first[text]) * step
+                        passage = term_of[codes[text][place:place + 2 * step]].tolist()
                         retrieved[text] += 1
                         if leaked(passage, *(p.tolist() for p in index.parts[n]), question_share, answer_share):
                             items[text].add(index.ids[n])
@@ -188,16 +207,24 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
     groups = min(1 + ((size or 0) * WORD_BYTES + (terms_size or 0)) // index_bytes, max(total, 1))
     group = F.pmod(F.xxhash64("item_id"), F.lit(groups))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
-    parts = []
+    found = None
     for g in range(groups):
         chosen = [(r["item_id"], r["text"]) for r in items.where(group == g).toLocalIterator() if len(terms(words(r["text"]))) >= MIN_WORDS]
         own = listed.where(group == g).select(F.explode(F.array_distinct("terms")).alias("w")).distinct()
         counts = {bytes(r["w"]): r["count"] for r in frequency.join(own, "w").toLocalIterator()}
         index = shared(spark, Index(sorted(chosen), counts, total, mean or 1.0))
-        parts.append(texts.mapInArrow(_finder(index, longest or 1, threshold, question_share, answer_share), HITS))
-    found = parts[0]
+        part = texts.mapInArrow(_finder(index, longest or 1, threshold, question_share, answer_share), HITS)
+        if groups > 1:
+            # One group at a time: its hits are stored and its index is freed before the next is built.
+            # Equal rows are answered alike.
+            part = written(part.dropDuplicates(["doc_id", "same"]), "leaks-of-group")
+            index.unpersist()
+        found = part if found is None else found.unionAll(part)
     if groups > 1:
-        found = reduce(DataFrame.unionAll, parts).groupBy("doc_id", "same", "n_passages").agg(
-            F.sum("n_retrieved").alias("n_retrieved"), F.max("score").alias("score"),
+        key = [F.col("doc_id"), F.col("same")]
+        summed = found.groupBy(*key).agg(
+            F.max("n_passages").alias("n_passages"), F.sum("n_retrieved").alias("n_retrieved"), F.max("score").alias("score"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        rows = documents.select(F.col("doc_id").cast("long").alias("r_id"), F.xxhash64("text").alias("r_same"))
+        found = rows.join(summed, F.col("r_id").eqNullSafe(F.col("doc_id")) & (F.col("r_same") == F.col("same"))).drop("r_id", "r_same")
     return found.select("doc_id", F.col("same").alias("text_hash"), "n_passages", "n_retrieved", "score", "items", (F.size("items") > 0).alias("contaminated"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phraselens.llm.common import shared
+from phraselens.llm.common import drawn, shared
 
 SAMPLE = 400            # labelled documents per language, fewer if there are more than SAMPLE_ALL / SAMPLE languages
 SAMPLE_ALL = 6_000
@@ -140,10 +140,9 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     if not totals:
         return Model(np.zeros((0, BUCKETS), np.float32), [])
     sample = min(sample, SAMPLE_ALL / len(totals))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000))
     chosen = F.lit(False)
     for lang, n in totals.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1, sample / n) * 1_000_000)))
+        chosen = chosen | ((F.col("lang") == lang) & drawn("doc_id", sample / n, 8))
     counts, labels = [], []
     for row in rows.where(chosen).select("lang", "text").mapInArrow(_counter, "lang string, buckets binary, counts binary").toLocalIterator():
         line = np.zeros(BUCKETS, np.float32)

@@ -102,13 +102,11 @@ def _nearest(queries: np.ndarray, count: int):
 
 def fit(entries: DataFrame, dimension: int) -> tuple[Tables, int]:
     """The tables and the number of probes per table; entries has entry, vector, asked."""
-    total, asked = entries.agg(F.count("*"), F.count_if("asked")).first()
-    drawn = F.pmod(F.xxhash64("entry", F.lit(9)), F.lit(1_000_000))
 
-    def some(rows: DataFrame, n: int, of: int) -> np.ndarray:
-        found = rows.where(drawn < int(min(1, 2 * n / max(of, 1)) * 1_000_000)).select("vector").limit(n).toArrow()
-        return matrix(found["vector"])
-    queries, sample = some(entries.where("asked"), FIT_QUERIES, asked), some(entries, FIT_ROWS, total)
+    def some(rows: DataFrame, n: int) -> np.ndarray:
+        """The n rows with the smallest hashes, fewer only if there are fewer."""
+        return matrix(rows.orderBy(F.xxhash64("entry", F.lit(9)), "entry").select("vector").limit(n).toArrow()["vector"])
+    queries, sample = some(entries.where("asked"), FIT_QUERIES), some(entries, FIT_ROWS)
     if not len(queries):
         return Tables(dimension, FIT_K[0], 1.0), 1
     near = entries.select("entry", "vector").mapInArrow(_nearest(queries, NEIGHBOURS + 1), "q long, entry long, score double")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from phraselens.llm.common import MARKS, Coder, mixed, shared, word_hashes, words
+from phraselens.llm.common import MARKS, Coder, drawn, mixed, shared, word_hashes, words
 
 SAMPLE = 8_000
 BUCKETS = 1 << 17
@@ -111,8 +111,7 @@ def learn(documents: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> Mode
     """A model from texts and a table with doc_id and grade (0, 1, ...); a document's highest grade counts."""
     known = grades.where("doc_id is not null and grade >= 0").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     total = known.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000))
-    chosen = known.where(draw < int(min(1, sample / max(total, 1)) * 1_000_000))
+    chosen = known.where(drawn("doc_id", sample / max(total, 1), 10))
     rows, buckets, shares, labels = [], [], [], []
     features = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(
         _features, "grade int, buckets binary, shares binary")

@@ -163,10 +163,29 @@ def test_leaks(spark):
         want[i] = sorted(r["item_id"] for r in items.collect() if r["text"] in text)
     got = queries.op6_decontaminate(spark, H.SMALL).collect()
     assert {r["doc_id"]: r["items"] for r in got} == want and all(r["contaminated"] == bool(r["items"]) for r in got)
-    groups = decontaminate.find_leaks(docs, items, index_bytes=1_000).collect()
+    groups = decontaminate.find_leaks(docs, items, index_bytes=4_000).collect()
     assert {r["doc_id"]: r["items"] for r in groups} == want
 
 
+def test_leaks_of_repeated_rows_in_any_number_of_groups(spark):
+    rows = [(1, H.PASSAGE), (1, H.PASSAGE), (None, H.PASSAGE), (None, H.PASSAGE), (2, None), (2, None), (3, "nothing of it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = H.PASSAGE.split()
+    items = spark.createDataFrame([(i, " ".join(words[:9 + i])) for i in range(8)], "item_id long, text string")
+    one, many = (decontaminate.find_leaks(docs, items, index_bytes=n).collect() for n in (1 << 26, 1_000))
+    assert len(one) == len(many) == len(rows) and max(len(r["items"]) for r in one) > 1
+    assert sorted(map(str, one)) == sorted(map(str, many))
+
+
+@pytest.mark.parametrize("share", [1e-9, 1e-12])
+def test_draws_are_never_empty_for_size(spark, share):
+    """A share of a few rows in billions still has a threshold above nothing, and about that share falls below it."""
+    assert int(share * (1 << 62)) > 0
+    rows = spark.range(100_000)
+    assert 50 < rows.where(common.drawn("id", 1e-3, 8)).count() < 160
+    assert rows.where(common.drawn("id", 2.0, 8)).count() == 100_000 and rows.where(common.drawn("id", 0.0, 8)).count() == 0
+
+
 def test_near_copies_and_cut_items_leak(spark):
     """Items with any one word replaced, and items without the last tenth of their words."""
     items = queries.table(spark, H.SMALL, "benchmark")
