@@ -21,9 +21,13 @@ def _counts(corpus: DataFrame) -> tuple[int, int]:
     return found.get(1, 0), found.get(0, 0)
 
 
-def _pairs(corpus: DataFrame, cap: int | None, n_neg: int, seed: int, id_col: str) -> DataFrame:
+def _ids(corpus: DataFrame, id_col: str) -> DataFrame:
+    """Labels and ids, written once: the passes that choose pairs read neither texts nor what the corpus was made from."""
+    return written(corpus.select("label", F.col(id_col).alias("id")), "pair-ids")
+
+
+def _pairs(corpus: DataFrame, ids: DataFrame, cap: int | None, n_neg: int, seed: int, id_col: str) -> DataFrame:
     """Pairs by ids first; the texts are looked up for the ids that were chosen, last."""
-    ids = corpus.select("label", F.col(id_col).alias("id"))
     if cap is not None:
         takes = corpus.sparkSession.createDataFrame([(0, cap + 1), (1, cap + 1)], "g int, take long")
         sizes = ids.groupBy(F.col("label").cast("int").alias("g")).count()
@@ -51,14 +55,16 @@ def training_pairs(corpus: DataFrame, cap: int | None = None, seed: int = SEED,
     """Neighbours within a class (score 1) and across classes (score 0), as many per kind as the
     smaller class allows, at most `cap` if it is given."""
     corpus = _binary(corpus)
-    n_pos, n_neg = _counts(corpus)
-    return _pairs(corpus, min(n_pos, n_neg, *([] if cap is None else [cap])), n_neg, seed, id_col)
+    ids = _ids(corpus, id_col)
+    n_pos, n_neg = _counts(ids)
+    return _pairs(corpus, ids, min(n_pos, n_neg, *([] if cap is None else [cap])), n_neg, seed, id_col)
 
 
 def validation_pairs(corpus: DataFrame, cap: int | None = None, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
     """All such pairs, at most `cap` per kind if it is given."""
     corpus = _binary(corpus)
-    return _pairs(corpus, cap, _counts(corpus)[1], seed, id_col)
+    ids = _ids(corpus, id_col)
+    return _pairs(corpus, ids, cap, _counts(ids)[1], seed, id_col)
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
