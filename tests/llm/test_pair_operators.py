@@ -113,6 +113,38 @@ def test_crowded_lines_are_split(spark, monkeypatch, threshold):
     assert kept == H.without_repeats(texts, threshold) and met[0] < len(lines) ** 2 / 20
 
 
+def test_crowded_copies_with_other_words(spark, monkeypatch):
+    """Copies of a long line in which some words are others share its segments, but few are within three edits of each other."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    base, lines = rng.sample(words, 18), set()
+    for n in range(130):
+        copy = [rng.choice(words) if rng.random() < 0.2 else w for w in base]
+        lines.add(" ".join(copy))
+        if n % 6 == 0:
+            k = rng.randrange(len(copy))
+            copy[k] = copy[k][:1] + "x" + copy[k][2:]
+            lines.add(" ".join(copy) + "."[:n % 4])
+    texts, met, within, placed = dict(enumerate(sorted(lines))), [], line_dedup._within, line_dedup._rare_pairs
+
+    def counted(pairs, t):
+        met.append(pairs.count())
+        return within(pairs, t)
+
+    def rare(crowded, most, hot):
+        found, left = placed(crowded, most, hot)
+        met.extend([crowded.count(), left.count()])
+        return found, left
+    monkeypatch.setattr(line_dedup, "_within", counted)
+    monkeypatch.setattr(line_dedup, "_rare_pairs", rare)
+    original = line_dedup.line_links
+    monkeypatch.setattr(line_dedup, "line_links", lambda a, b, t: original(a, b, t, 8))
+    kept = texts_of(line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3))
+    assert kept == H.without_repeats(texts, 3)
+    crowded, left, pairs = met
+    assert crowded > 80 and left < crowded / 4 and pairs < crowded ** 2 / 8
+
+
 def test_line_dedup_on_documents(spark):
     docs = queries.table(spark, H.SMALL, "documents")
     want = H.without_repeats(texts_of(docs))
