@@ -67,11 +67,12 @@ def threshold_join(rows: np.ndarray, anchors: np.ndarray, thresholds: np.ndarray
         begin = max(end - step, 0)
         n = int(np.searchsorted(left_out, end))
         partial[:, :n] += q[:, begin:end] @ listed[:n, begin:end].T
-        rest = np.maximum(left_out[:n], begin)
-        alive = partial[:, :n] + q_norm[:, rest] * x_norm[np.arange(n), rest] >= wanted[:, None]
+        # Rows whose index starts at `end` or later have their whole partial score; they stay in question all the same.
+        rest = np.maximum(left_out, begin)
+        alive = partial + q_norm[:, rest] * x_norm[np.arange(len(x)), rest] >= wanted[:, None]
         stays = alive.any(axis=0)
-        if begin and stays.mean() < 0.8 if n else False:
-            kept = np.concatenate([np.flatnonzero(stays), np.arange(n, len(x))])
+        if begin and len(x) and stays.mean() < 0.8:
+            kept = np.flatnonzero(stays)
             by_start, left_out, x_norm, listed, partial = by_start[kept], left_out[kept], x_norm[kept], listed[kept], partial[:, kept]
             x = x[kept]
     a, r = np.nonzero(alive)

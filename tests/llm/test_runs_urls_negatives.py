@@ -281,3 +281,13 @@ def test_negatives_of_odd_tables(spark):
     rows = spark.createDataFrame([(*r, None, None, None, None) for r in odd], schema)
     got = hard_negatives.mine(rows, F.col("row_id") == 0).collect()
     assert [tuple(r) for r in sorted(got)] == [(0, 6, 1, 7, 100, 90), (0, 6, 2, 8, 100, 90)]
+
+
+@pytest.mark.parametrize("seed, spread", [(0, 1), (1, 5), (2, 30)])
+def test_threshold_join_of_rows_that_are_all_alike(seed, spread):
+    """High thresholds leave whole steps of components out of the index; a row that is scored before the last step still counts."""
+    rng = np.random.default_rng(seed)
+    x, q = (np.floor(50 * np.ones(64) + rng.normal(size=(n, 64)) * spread).astype(np.int64) for n in (300, 12))
+    t = np.quantile(q @ x.T, 0.9, axis=1)
+    a, r, s = hard_negatives.threshold_join(x, q, t)
+    assert sorted(zip(a, r)) == sorted(zip(*np.nonzero(q @ x.T >= t[:, None]))) and (s == (q @ x.T)[a, r]).all()
