@@ -145,6 +145,19 @@ def test_crowded_copies_with_other_words(spark, monkeypatch):
     assert crowded > 80 and left < crowded / 4 and pairs < crowded ** 2 / 8
 
 
+def test_crowded_lines_meet_those_beside_a_fuller_cell(spark, monkeypatch):
+    """Line 0 has rare segments, its near copy holds them in a cell beside one that is too full: the link must not be lost."""
+    rng = random.Random(2)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    base, tail = some(62), some(21)
+    lines = [base + tail, base + tail[:10] + "Z" + tail[10:]] + [base + some(n) for n in (21, 21, 21, 22, 23, 24, 26, 26, 27, 27, 28, 29)]
+    original = line_dedup.line_links
+    monkeypatch.setattr(line_dedup, "line_links", lambda a, b, t: original(a, b, t, 4))
+    texts = dict(enumerate(lines))
+    kept = texts_of(line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3))
+    assert kept == H.without_repeats(texts, 3) and kept[0] and not kept[1]
+
+
 def test_line_dedup_on_documents(spark):
     docs = queries.table(spark, H.SMALL, "documents")
     want = H.without_repeats(texts_of(docs))
