@@ -197,6 +197,20 @@ def score_texts(texts: DataFrame, profile: ExtractProfile, stop_words: list[str]
     return choose_phrases(texts, profile, stop_words, everything, "phrase string, n int, score double", carry)
 
 
+def count_candidates(texts: DataFrame, profile: ExtractProfile, stop_words: list[str], carry=("text_key",)) -> DataFrame:
+    """Of every text and length n: the number of different n-grams, the first and the last of them as strings."""
+    def counted(grams: Grams):
+        # Words have no character below a blank, so n-grams come in the order of their strings.
+        order = np.lexsort((np.arange(len(grams.text)), grams.n, grams.text))
+        key = grams.text[order] * (MAX_NGRAM + 1) + grams.n[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        ends = np.append(starts[1:], len(key)) - 1 if len(key) else starts
+        first = order[starts]
+        return grams.text[first], {"n": pa.array(grams.n[first].astype(np.int32)), "candidates": pa.array(ends - starts + 1, pa.int64()),
+                                   "first_phrase": grams.phrases(first), "last_phrase": grams.phrases(order[ends])}
+    return choose_phrases(texts, profile, stop_words, counted, "n int, candidates long, first_phrase string, last_phrase string", carry)
+
+
 def best_candidates(texts: DataFrame, profile: ExtractProfile, stop_words: list[str], limit: int, carry=("text_key",)) -> DataFrame:
     """The `limit` best-scored n-grams of every text: rank, phrase, score; equal scores alphabetically."""
     def best(grams: Grams):

@@ -175,3 +175,12 @@ def test_extraction_needs_no_exchange_and_tokenises_once(spark):
         assert "ReadSchema: struct<text:string>" in text
     counts = plan(op.phrase_counts(docs))
     assert counts.count("Exchange") == 1 and "Exchange hashpartitioning(phrase" in counts
+
+
+def test_candidates_are_counted_where_texts_are_read(spark):
+    """Numbers, first and last n-grams of texts against all their n-grams, copies and short texts included."""
+    rows = [(1, "one two three one two, Über_die über 9 ab abc ab_c ab"), (2, "one"), (3, None), (4, "b a"), (5, "b a"), (6, " ".join(f"w{i % 7}x{i}" for i in range(40)))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    every = oc.score_texts(texts, EXTRACT, ["one"], ("doc_id",)).groupBy("doc_id", "n").agg(
+        F.count("*").alias("candidates"), F.min("phrase"), F.max("phrase")).collect()
+    assert sorted(map(tuple, every)) == sorted(map(tuple, oc.count_candidates(texts, EXTRACT, ["one"], ("doc_id",)).collect())) and every
