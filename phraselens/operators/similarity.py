@@ -104,7 +104,8 @@ def _search(queries: pa.Table, index: pa.Table, k: int, cosine: bool, skip_self:
         r, c, v = r[real], c[real], v[real]
         rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
         rows.append(r + start), cols.append(c), sims.append(v), ranks.append(rank)
-    found = index.take(pa.array(np.concatenate(cols)))
+    # Vectors stay behind: with some neighbours for each query, copies of them would be most of a worker's memory.
+    found = index.select([f.name for f in schema if f.name in index.schema.names]).take(pa.array(np.concatenate(cols)))
     ids = queries["q_id"].take(pa.array(np.concatenate(rows)))
     made = {"q_id": ids, "rank": pa.array(np.concatenate(ranks)), "similarity": pa.array(np.concatenate(sims))}
     return pa.table([(made[f.name] if f.name in made else found[f.name]).cast(f.type) for f in schema], schema=schema)
@@ -190,11 +191,24 @@ def visits(queries: DataFrame, index: Index, first: bool) -> DataFrame:
     return queries.mapInArrow(plan, schema)
 
 
+def _cells(asked: DataFrame, n_queries: int, index: Index) -> tuple[DataFrame, DataFrame]:
+    """Queries and index rows with the part of the block they meet in.
+
+    A block is copied once for each BLOCK_ROWS queries that read it, not for each BLOCK_ROWS of all queries.
+    """
+    if n_queries < BLOCK_ROWS:
+        return asked.withColumn("part", F.lit(0)), index.rows.withColumn("part", F.lit(0))
+    # Two numbers for each block, and blocks hold many rows each.
+    parts = F.broadcast(written(asked.groupBy("block").agg((1 + F.floor(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("parts")), "visited"))
+    left = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("q_id"), F.col("parts")).cast("int"))
+    right = index.rows.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return left.drop("parts"), right.drop("parts")
+
+
 def _read(asked: DataFrame, n_queries: int, index: Index, k: int, skip_self: bool, schema: T.StructType) -> DataFrame:
-    """The best k of each cell of a block and a share of the queries."""
-    parts, cosine, arrow = 1 + n_queries // BLOCK_ROWS, index.cosine, to_arrow_schema(schema)
-    left = asked.withColumn("part", F.pmod(F.xxhash64("q_id"), F.lit(parts)).cast("int"))
-    right = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    """The best k of each cell of a block and a share of the queries that read it."""
+    cosine, arrow = index.cosine, to_arrow_schema(schema)
+    left, right = _cells(asked, n_queries, index)
 
     def cell(queries: pa.Table, rows: pa.Table) -> pa.Table:
         return _search(queries, rows, k, cosine, skip_self, arrow)

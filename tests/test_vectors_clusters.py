@@ -1,6 +1,7 @@
 """Embedders, exact search, clusters and checks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,26 @@ def test_fewer_points_than_clusters(spark, points):
     assigned = cluster.assign_with_model(vectors, cluster.fit_kmeans(vectors, k=10)).collect()
     by_point = {tuple(r["embedding"]): r["cluster"] for r in assigned}
     assert all(r["cluster"] == by_point[tuple(r["embedding"])] for r in assigned)
+
+
+def test_search_leaves_vectors_behind():
+    """What a search returns has no vectors, so none are copied for the neighbours found."""
+    rng = np.random.default_rng(3)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+    index = pa.table({"phrase_id": pa.array(np.arange(50)), "embedding": lists(rng.random((50, 256)))})
+    queries = pa.table({"q_id": pa.array(np.arange(1_000)), "query": lists(rng.random((1_000, 256)))})
+    schema = pa.schema([("q_id", pa.int64()), ("rank", pa.int32()), ("phrase_id", pa.int64()), ("similarity", pa.float64())])
+    pool = pa.default_memory_pool()
+    room = max(pool.max_memory(), pool.bytes_allocated() + 10_000 * 256 * 8 // 2)
+    assert similarity._search(queries, index, 10, True, False, schema).num_rows == 10_000 and pool.max_memory() <= room
+
+
+def test_blocks_are_copied_for_their_own_readers(spark, monkeypatch):
+    """40 queries, most of them in one block: the others are there once."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 10)
+    asked = spark.range(40).selectExpr("id AS q_id", "CAST(greatest(id - 30, 0) AS int) AS block")
+    rows = spark.range(24).selectExpr("id AS phrase_id", "CAST(id % 12 AS int) AS block")
+    left, right = similarity._cells(asked, 40, similarity.Index(rows, 24, False, 5, []))
+    copies = {r["block"]: r["count"] for r in right.groupBy("block").count().collect()}
+    assert left.count() == 40 and copies == {0: 8, **{b: 2 for b in range(1, 10)}}
+    assert left.join(right, ["block", "part"], "left_anti").count() == 0
