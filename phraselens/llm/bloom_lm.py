@@ -31,6 +31,7 @@ PROBES = 8
 SEGMENT_BYTES = 24 << 20        # text per filter segment
 SHARD_BYTES = 48 << 20          # text per vocabulary shard
 BROADCAST_BYTES = 96 << 20
+PART = 1 << 18                  # prints whose bits are found at a time
 END = b"\n"                     # no word holds white space, so this can stand for the end of a text
 
 CODED = ("kind int, block string, row int, doc_id long, held boolean, codes binary, shard int, words binary, counts binary")
@@ -80,8 +81,9 @@ def build_filter(prints: np.ndarray, counts: np.ndarray, probes: int) -> tuple[i
     cells = np.zeros(bits, np.bool_)
     for level in range(1, int(levels.max(initial=0)) + 1):
         stored = prints[levels >= level]
-        for probe in range(probes):
-            cells[bit_positions(stored, level, np.uint64(bits), probe)] = True
+        for start in range(0, len(stored), PART):
+            for probe in range(probes):
+                cells[bit_positions(stored[start:start + PART], level, np.uint64(bits), probe)] = True
     return bits, np.packbits(cells, bitorder="little").tobytes()
 
 
@@ -168,13 +170,33 @@ def _pair_counter(segments: int):
     return count
 
 
+def counted_prints(pieces: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different prints in ascending order and the sums of their counts.
+
+    A print has 40 bits and a count goes into the other 24, as several parts of it if it must, so that both are sorted in place.
+    """
+    most, packed = (1 << 24) - 1, []
+    for prints, counts in pieces:
+        wide = np.zeros((len(counts) // 4, 8), np.uint8)
+        wide[:, 3:] = np.frombuffer(prints, np.uint8).reshape(-1, 5)
+        wide, left = wide.view(np.uint64).ravel(), np.frombuffer(counts, np.int32).astype(np.int64)
+        while len(left):
+            packed.append(wide | np.minimum(left, most).astype(np.uint64))
+            wide, left = wide[left > most], left[left > most] - most
+    both = np.concatenate(packed) if packed else np.zeros(0, np.uint64)
+    packed.clear()
+    both.sort()
+    first = np.ones(len(both), bool)
+    first[1:] = both[1:] >> np.uint64(24) != both[:-1] >> np.uint64(24)
+    starts = np.flatnonzero(first)
+    prints = both[starts] >> np.uint64(24)
+    both &= np.uint64(most)
+    return prints, np.add.reduceat(both, starts).astype(np.int64) if len(both) else np.zeros(0, np.int64)
+
+
 def _segment_filter(probes: int):
     def build(table: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(table["prints"].to_pylist()), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        prints, where = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
-        counts = np.bincount(where, np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32), len(prints))
+        prints, counts = counted_prints([*zip(table["prints"].to_pylist(), table["counts"].to_pylist())])
         bits, cells = build_filter(prints, counts, probes)
         return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int32()), "bits": [bits], "filter": [cells],
                          "pairs": [int(counts.sum())], "singles": [int((counts == 1).sum())]})

@@ -206,3 +206,25 @@ def test_ordinal_thresholds_are_ordered():
     model = toxicity.Model(rows, buckets, np.full(800, 0.02), grades)
     assert (np.diff(model.thresholds) > 0).all()
     assert (np.diff(model.weights[10:14]) > 0).all()
+
+
+def test_prints_are_counted_in_place():
+    """Sums as with plain dictionaries, of counts beyond 24 bits too, in less memory than an index of every print takes."""
+    import tracemalloc
+
+    rng, pieces, want = np.random.default_rng(4), [], {}
+    for size in (0, 5, 40_000, 40_000):
+        prints = np.unique(rng.integers(0, 60_000, size).astype(np.uint64) * np.uint64(16_777_259) & np.uint64((1 << 40) - 1))
+        counts = np.where(rng.random(len(prints)) < 0.01, (1 << 31) - 1, rng.integers(1, 9, len(prints))).astype(np.int32)
+        for p, c in zip(prints.tolist(), counts.tolist()):
+            want[p] = want.get(p, 0) + c
+        pieces.append((prints.view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), counts.tobytes()))
+    prints, counts = bloom_lm.counted_prints(pieces)
+    assert dict(zip(prints.tolist(), counts.tolist())) == want and (np.diff(prints.astype(np.int64)) > 0).all()
+    many = rng.integers(0, 1 << 40, 400_000).astype(np.uint64)
+    piece = (many.view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), np.ones(len(many), np.int32).tobytes())
+    tracemalloc.start()
+    bloom_lm.counted_prints([piece])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * 8 * len(many)
