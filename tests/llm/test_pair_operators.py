@@ -158,6 +158,57 @@ def test_crowded_lines_meet_those_beside_a_fuller_cell(spark, monkeypatch):
     assert kept == H.without_repeats(texts, 3) and kept[0] and not kept[1]
 
 
+def test_coarse_keys_lose_no_link(spark):
+    """Lines around the lengths at which cuts and edits change: all that have a link by the registered rule are found, most others are not."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n - 2)).join("xx")
+    edits, lines = lambda n: max(min(n // 16, 3), 1), set()
+    for n in [m + d for m in (18, 32, 48, 64, 96) for d in (-2, -1, 0, 1, 2)] * 4:
+        line = some(n)
+        copy = list(line)
+        for _ in range(edits(n)):
+            k = rng.randrange(len(copy))
+            copy[k:k + rng.randrange(2)] = rng.choice(["", "Z", "ü"])
+        lines |= {line, "".join(copy)} if len(copy) >= 16 and rng.random() < 0.5 else {line}
+    lines = sorted(lines)
+    linked = {x for a in lines for b in lines if a != b and abs(len(a) - len(b)) <= 3 and H.edit_distance(a, b) <= edits(min(len(a), len(b))) for x in (a, b)}
+    frame = spark.createDataFrame([(x, x, len(x)) for x in lines], "line string, text string, chars int")
+    found = {r["text"] for r in line_dedup._meeting_lines(frame, None).collect()}
+    assert len(linked) > 40 and linked <= found and len(found) < len(linked) + (len(lines) - len(linked)) / 3
+
+
+def test_lines_that_meet_none_make_few_keys(spark, monkeypatch):
+    """Lines that are like no other make eight keys or so each, not the 26 of three edits, and no pair."""
+    rng, made, written = random.Random(8), [], line_dedup.written
+    lines = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randrange(48, 150))) for _ in range(200)]
+
+    def recorded(df, name):
+        out = written(df, name)
+        made.append((name, out.count()))
+        return out
+    monkeypatch.setattr(line_dedup, "written", recorded)
+    line_dedup.find_repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).count()
+    assert sum(n for name, n in made if name in ("lines-coarse", "lines-keyed")) <= 10 * len(lines) and not dict(made)["lines-keyed"]
+
+
+def test_counts_travel_with_crowded_lines(spark, monkeypatch):
+    """Segments of crowded lines are many a line: their lines' counts come along, no join by line brings them."""
+    rng, plans, written = random.Random(9), [], line_dedup.written
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    base = rng.sample(words, 18)
+    lines = sorted({" ".join(rng.choice(words) if rng.random() < 0.2 else w for w in base) for _ in range(60)})
+
+    def recorded(df, name):
+        if name == "lines-met":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name)
+    monkeypatch.setattr(line_dedup, "written", recorded)
+    original = line_dedup.line_links
+    monkeypatch.setattr(line_dedup, "line_links", lambda a, b, t: original(a, b, t, 8))
+    line_dedup.find_repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), 3).count()
+    assert len(plans) > 1 and not any("(line#" in x for p in plans for x in p.split("\n") if "Join" in x)
+
+
 def test_line_dedup_on_documents(spark):
     docs = queries.table(spark, H.SMALL, "documents")
     want = H.without_repeats(texts_of(docs))
