@@ -158,6 +158,31 @@ def test_crowded_lines_meet_those_beside_a_fuller_cell(spark, monkeypatch):
     assert kept == H.without_repeats(texts, 3) and kept[0] and not kept[1]
 
 
+def test_crowded_copies_with_one_other_word(spark, monkeypatch):
+    """Copies of a line with a word of four letters put in anywhere share nearly all segments; few entries may be made of them, and no link may be lost."""
+    rng, letters = random.Random(6), "abcdefghijklmnop"
+    base = "".join(rng.choice(letters + " ") for _ in range(126)).join("xx")
+    lines, made, written = {base, base[:40] + "z" + base[40:]}, [], line_dedup.written
+    while len(lines) < 112:
+        k = rng.randrange(1, len(base))
+        word = "".join(rng.choice(letters) for _ in range(4))
+        lines.add(base[:k] + word + base[k:])
+        if rng.random() < 0.15:
+            lines.add(base[:k] + word[:2] + rng.choice("Zz") + word[3:] + base[k:])
+    texts = dict(enumerate(sorted(lines)))
+
+    def recorded(df, name):
+        out = written(df, name)
+        made.append((name, out.count()))
+        return out
+    monkeypatch.setattr(line_dedup, "written", recorded)
+    original = line_dedup.line_links
+    monkeypatch.setattr(line_dedup, "line_links", lambda a, b, t: original(a, b, t, 48))
+    kept = texts_of(line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3))
+    assert kept == H.without_repeats(texts, 3) and "lines-crowded" in dict(made)
+    assert sum(n for name, n in made if name == "lines-split") < 40 * len(lines)
+
+
 def test_coarse_keys_lose_no_link(spark):
     """Lines around the lengths at which cuts and edits change: all that have a link by the registered rule are found, most others are not."""
     rng = random.Random(4)
