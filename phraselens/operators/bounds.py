@@ -33,10 +33,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def matrix(column) -> np.ndarray:
-    """The rows of a list column of equal lengths."""
+def matrix(column, keep: bool = False) -> np.ndarray:
+    """The rows of a list column of equal lengths, in double precision, or in single precision if `keep` and stored so."""
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    values = rows.flatten().to_numpy(zero_copy_only=False)
+    values = values if keep and values.dtype == np.float32 else values.astype(np.float64)
     return values.reshape(len(rows), -1) if len(rows) else values.reshape(0, 1)
 
 
@@ -174,12 +175,8 @@ def sparse_columns(x: np.ndarray) -> list[pa.Array]:
             pa.array(np.einsum("ij,ij->i", x, x))]
 
 
-def build_lists(index: DataFrame, dim: int, k: int, most_used: int, block_rows: int, cosine: bool) -> tuple[DataFrame, Lists]:
-    """Postings (bucket lists) of index with `at`, `weight`, `square` instead of the embedding and `block`; and the blocks.
-
-    Lists are cut by weight, each level a factor of about 0.7 below the one before, and long ones further by id.
-    """
-    spark = index.sparkSession
+def thinned(index: DataFrame) -> DataFrame:
+    """index with `at`, `weight`, `square` instead of the embedding."""
     others = [f for f in index.schema if f.name != "embedding"]
 
     def thin(batches):
@@ -187,7 +184,17 @@ def build_lists(index: DataFrame, dim: int, k: int, most_used: int, block_rows:
             yield pa.RecordBatch.from_arrays([*[batch[f.name] for f in others], *sparse_columns(matrix(batch["embedding"]))], [*[f.name for f in others], "at", "weight", "square"])
 
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    rows = written(index.mapInArrow(thin, f"{plain}, at array<int>, weight array<double>, square double"), "sparse")
+    return written(index.mapInArrow(thin, f"{plain}, at array<int>, weight array<double>, square double"), "sparse")
+
+
+def build_lists(index: DataFrame, dim: int, k: int, most_used: int, block_rows: int, cosine: bool) -> tuple[DataFrame, Lists]:
+    """Postings (bucket lists) of index with `at`, `weight`, `square` instead of the embedding and `block`; and the blocks.
+
+    Lists are cut by weight, each level a factor of about 0.7 below the one before, and long ones further by id.
+    """
+    spark = index.sparkSession
+    others = [f for f in index.schema if f.name != "embedding"]
+    rows = thinned(index)
     norm = 1.0 if cosine else math.sqrt(rows.agg(F.max("square")).first()[0] or 0.0)
     each = rows.select("*", F.posexplode("at").alias("_i", "bucket")).withColumn(
         "own", F.get("weight", "_i") / F.sqrt("square") if cosine else F.get("weight", "_i"))

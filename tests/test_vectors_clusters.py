@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from phraselens.operators import checks, cluster, embed, similarity
+from phraselens.operators import bounds, checks, cluster, embed, similarity
 
 
 def vector_table(spark, matrix, key):
@@ -222,3 +222,43 @@ def test_search_leaves_vectors_behind():
     pool = pa.default_memory_pool()
     room = max(pool.max_memory(), pool.bytes_allocated() + 10_000 * 256 * 8 // 2)
     assert similarity._search(queries, index, 10, True, False, schema).num_rows == 10_000 and pool.max_memory() <= room
+
+
+def test_index_of_many_short_phrases_stays_whole(spark):
+    """20,000 vectors of three words are a few MB by what they use: no query is copied to any block, and the neighbours are exact."""
+    rng = np.random.default_rng(8)
+    x = np.zeros((20_000, 64))
+    np.add.at(x, (np.repeat(np.arange(len(x)), 3), rng.integers(0, 64, 3 * len(x))), 1)
+    q = np.concatenate([x[:20], rng.integers(0, 3, (20, 64)), np.zeros((1, 64))]).astype(float)
+    index = similarity.prepare(vector_table(spark, x, "phrase_id"), 10, True)
+    assert index.blocks is None
+    assert found(similarity.top_k_neighbours(vector_table(spark, q, "q_id"), index, 10)) == brute(q, x, 10, True, False)
+
+
+def test_second_round_returns_what_can_be_best(spark):
+    """A block that is read again passes on rows that reach the K-th best score, not K rows of its own."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 24))
+    rows = vector_table(spark, x[:60], "q_id").select("q_id", F.col("embedding").alias("query"))
+    index = similarity.prepare(vector_table(spark, x, "phrase_id"), 5, True, 100, 0)
+    least = 0.5
+    again = similarity.visits(rows.withColumn("least", F.lit(least)), index, False)
+    got = similarity._read(again, 60, index, 5, False, similarity._result_type(rows, index)).collect()
+    assert again.count() > 240 and 40 <= len(got) < 200 and min(r["similarity"] for r in got) >= least
+
+
+@pytest.mark.parametrize("chunk, few", [(64, 8), (64, 0), (2_048, 8)])
+def test_rough_scores_lose_no_neighbour(monkeypatch, chunk, few):
+    """Chunks of any size, lists of entries or whole chunks: the rows and scores of a plain sort."""
+    for name, value in (("CHUNK_ROWS", chunk), ("LISTED", few), ("QUERY_ROWS", 7), ("GROUPS", 3)):
+        monkeypatch.setattr(similarity, name, value)
+    rng, schema = np.random.default_rng(5), pa.schema([("q_id", pa.int64()), ("rank", pa.int32()), ("phrase_id", pa.int64()), ("similarity", pa.float64())])
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+    sparse = (rng.random((300, 30)) < 0.08) * rng.integers(1, 3, (300, 30)).astype(float)
+    for x in (sparse, rng.normal(size=(300, 30)), rng.integers(-1, 2, (300, 30)).astype(float)):
+        columns = {"embedding": lists(x)} if x is not sparse else dict(zip(("at", "weight", "square"), bounds.sparse_columns(x)))
+        for cosine in (True, False):
+            table = similarity._search(pa.table({"q_id": pa.array(np.arange(40)), "query": lists(x[:40])}), pa.table({"phrase_id": pa.array(np.arange(300)), **columns}), 6, cosine, True, schema)
+            want = [(i, r, j, s) for i, r, j, s, _ in brute(x[:40], x, 6, cosine, True)]
+            got = list(zip(*[table[c].to_pylist() for c in schema.names]))
+            assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-9)
