@@ -37,15 +37,15 @@ def explain_distinct(texts: DataFrame, index: DataFrame | Index, embedder, profi
     phrases = written(mmr.diverse_phrases(texts, profile).select("text_key", "rank", "phrase", "score"), "phrases")
     by_phrase = classify_phrase_set(phrases, index, embedder, settings.phrase_neighbours)
     explained = written(classify.phrase_explanations(join_unique(phrases, by_phrase, "phrase"), "text_key"), "explanations")
-    with_phrases = texts.join(explained.select("text_key"), "text_key", "left_semi")
-    verdicts = classify_text_set(with_phrases, index, embedder, settings.text_neighbours)
+    # All texts are embedded where they are read, those without phrases too: a join that leaves them out would move every text.
+    verdicts = classify_text_set(texts, index, embedder, settings.text_neighbours)
     joined = texts.select("text_key").join(explained, "text_key", "left").join(verdicts, "text_key", "left")
     has_phrases = F.col("phrases").isNotNull()
     # A text with phrases but no reachable neighbour at all (empty index) stays open as well.
     return joined.select(
-        "text_key", F.coalesce("overall_classification", F.lit(classify.UNABLE)).alias("overall_classification"),
+        "text_key", F.coalesce(F.when(has_phrases, F.col("overall_classification")), F.lit(classify.UNABLE)).alias("overall_classification"),
         F.coalesce("phrases", F.array()).alias("phrases"),
-        F.coalesce("summary", F.lit(classify.NO_PHRASES)).alias("summary"),
+        F.coalesce(F.when(has_phrases, F.col("summary")), F.lit(classify.NO_PHRASES)).alias("summary"),
         F.when(has_phrases, F.struct("similarity_confidence", "avg_hate_ratio", "threshold")).alias("text_analysis"))
 
 

@@ -225,3 +225,19 @@ def test_older_versions_are_all_tried_and_faults_raised(spark, tmp_path, monkeyp
     monkeypatch.setattr(type(spark.read), "parquet", broken)
     with pytest.raises(Exception):
         snapshots.read_snapshot(spark, root, "s", "d")
+
+
+def test_texts_are_classified_where_they_are_read(spark, trained, monkeypatch):
+    """No join moves the texts to leave out those without phrases, and these stay unclassified."""
+    (_, model), seen = trained, []
+    classify_texts = inference.classify_text_set
+
+    def watched(texts, *rest):
+        seen.append(texts._jdf.queryExecution().executedPlan().toString())
+        return classify_texts(texts, *rest)
+    monkeypatch.setattr(inference, "classify_text_set", watched)
+    docs = spark.createDataFrame([(1, GOOD[0]), (2, "the"), (3, BAD[0])], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in inference.explain(docs, model.index, embed.HashedEmbedder()).collect()}
+    assert len(seen) == 1 and "Join" not in seen[0] and "Exchange" not in seen[0]
+    assert rows[2]["overall_classification"] == classify.UNABLE and rows[2]["summary"] == classify.NO_PHRASES and rows[2]["text_analysis"] is None
+    assert rows[1]["phrases"] and rows[1]["text_analysis"] and rows[3]["summary"] != classify.NO_PHRASES
