@@ -397,3 +397,18 @@ def test_pipeline_odd(spark, table):
 
 def test_every_operator_is_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11)) and bloom_lm.PROBES
+
+
+def test_bags_differ_by_two_bits_an_edit_at_most(spark):
+    """Numbers of characters modulo 4: an edit changes at most two bits, and two more of a character are seen as two."""
+    rng, rows = random.Random(12), []
+    for _ in range(300):
+        a = [rng.choice("abpqP0123 üé漢") for _ in range(rng.randrange(2, 60))]
+        b, edits = list(a), rng.randrange(1, 4)
+        for _ in range(edits):
+            k = rng.randrange(len(b) + 1)
+            b[k:k + rng.randrange(2)] = rng.choice(["", "x", "0", "漢"])
+        rows.append(("".join(a), "".join(b) + "a", edits + 1))
+    bags = spark.createDataFrame([*rows, ("line 11", "line 1111", -1)], "x string, y string, e int").select("e", line_dedup._bag("x").alias("c"), line_dedup._bag("y").alias("d"))
+    found = bags.select("e", line_dedup._apart("c", "d").alias("n")).collect()
+    assert all(r["n"] <= 2 * r["e"] for r in found[:-1]) and found[-1]["n"] == 2
